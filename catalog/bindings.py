@@ -193,11 +193,13 @@ CTE = {
 
 def sql(body: str, *ctes: str) -> str:
     """Statement with the named view definitions in front."""
+    if not ctes:
+        return body
     defs = [CTE[c] for c in ctes]
     lead = body.lstrip()
     if lead.upper().startswith("WITH "):
         return "WITH " + ",\n".join(defs) + ",\n" + lead[5:]
-    return "WITH " + ",\n".join(defs) + "\n" + body if defs else body
+    return "WITH " + ",\n".join(defs) + "\n" + body
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

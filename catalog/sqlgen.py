@@ -323,3 +323,69 @@ CTE["ws"] = f"""ws AS (
 WG = ("postings", "companies", "ws_text", "ws_gates")
 WC = WG + ("ws_cat",)
 WS = WC + ("ws",)
+
+# ---------------------------------------------------------------------------
+# Scored postings: prefilter, classifiers and fresh verdicts together
+# ---------------------------------------------------------------------------
+
+SCORED_CFG = CFG.with_(cache_days=1000)
+_X = "lower(array_to_string(list_filter([title, company, description], " \
+     "lambda v: v IS NOT NULL AND v <> ''), ' '))"
+IND_SQL = which_sql({n: isin_sql("company_normalized", r["companies"]) + " OR "
+                     + any_sql("x", r["keywords"]) for n, r in V.TAXONOMY_INDUSTRIES.items()})
+ROLE_SQL = which_sql({n: f"CASE WHEN {any_sql('t', r['title_keywords'])} THEN NOT "
+                         f"{any_sql('t', r['title_excludes'])} ELSE "
+                         f"{any_sql('x', r['description_keywords'])} END"
+                      for n, r in V.TAXONOMY_ROLE_TYPES.items()})
+GROUP_SQL = ("CASE company_tier WHEN 'S' THEN 'tier_s' WHEN '1' THEN 'tier_1' WHEN '2' THEN "
+             "'tier_2' ELSE " + first_sql({n: isin_sql("company_normalized", c)
+                                           for n, c in V.TAXONOMY_GROUPS.items()}, "NULL")
+             + " END")
+QOL_FLAGS = {
+    "work_mode_remote": "work_mode = 'remote'", "work_mode_hybrid": "work_mode = 'hybrid'",
+    "salary_listed": "coalesce(salary_min, 0) > 0 OR coalesce(salary_max, 0) > 0",
+    "salary_above_floor": "coalesce(CASE WHEN salary_min > 0 THEN salary_min ELSE salary_max "
+                          f"END, 0) >= {V.QOL_SALARY_FLOOR}",
+    "posted_recent": f"posted_at > as_of - INTERVAL {V.QOL_RECENT_DAYS} DAY",
+    "equity_keywords": any_sql("lower(description)", V.QOL_EQUITY),
+    "benefits_keywords": any_sql("lower(description)", V.QOL_BENEFITS),
+    "flexibility_keywords": any_sql("lower(description)", V.QOL_FLEXIBILITY),
+}
+QOL_SQL = "CAST(least(100, " + " + ".join(
+    f"CASE WHEN {c} THEN {V.QOL_WEIGHTS[n]} ELSE 0 END" for n, c in QOL_FLAGS.items()) \
+    + ") AS BIGINT)"
+ENGAGEMENT_SQL = "CASE " + " ".join(
+    f"WHEN {any_sql(e, ps)} THEN {q(n)}"
+    for e in ("' ' || lower(title) || ' '", "' ' || lower(description) || ' '")
+    for n, ps in V.ENGAGEMENT_RULES.items()) \
+    + " WHEN trim(title) = '' THEN 'unclear' ELSE 'fulltime' END"
+
+CTE["scored"] = f"""scored AS (
+  SELECT *, CASE WHEN NOT passed_prefilter THEN 'DISQUALIFIED'
+      WHEN verdict_state <> 'scored' THEN 'needs_review'
+      WHEN score < 35 AND watchlist_dream AND is_dream_company AND is_leadership_title
+        AND geography_match = 'unreachable' THEN 'watchlist_dream'
+      ELSE {TIER_SQL} END AS tier
+  FROM (SELECT f.* EXCLUDE (work_mode),
+      coalesce(CASE WHEN passed_prefilter THEN v.verdict_work_mode END, f.work_mode)
+        AS work_mode,
+      {IND_SQL} AS industries, {ROLE_SQL} AS role_types, {GROUP_SQL} AS company_group,
+      {QOL_SQL.replace('work_mode =', 'f.work_mode =')} AS qol_score,
+      {ENGAGEMENT_SQL} AS engagement_type,
+      CASE WHEN NOT passed_prefilter THEN 'skipped' WHEN v.job_id IS NULL THEN 'missing'
+        ELSE 'scored' END AS verdict_state,
+      CASE WHEN passed_prefilter THEN v.semantic_score END AS semantic_score,
+      CASE WHEN passed_prefilter THEN v.semantic_rationale END AS semantic_rationale,
+      CASE WHEN passed_prefilter THEN v.semantic_scored_at END AS semantic_scored_at,
+      CASE WHEN passed_prefilter THEN coalesce(v.semantic_score, 0) ELSE 0 END AS score,
+      CASE WHEN passed_prefilter THEN 100 ELSE 0 END AS algo_score,
+      passed_prefilter AND coalesce(v.watchlist_dream, FALSE) AS watchlist_dream,
+      CASE WHEN passed_prefilter THEN coalesce(v.geography_match, 'unclear')
+        ELSE 'unclear' END AS geography_match,
+      CASE WHEN passed_prefilter THEN coalesce(v.role_family_match, 'unclear')
+        ELSE 'unclear' END AS role_family_match
+    FROM (SELECT *, lower(title) AS t, {_X} AS x FROM pf, params) f
+    LEFT JOIN (SELECT verdicts.* FROM verdicts, params
+               WHERE semantic_scored_at > as_of - INTERVAL 1000 DAY) v
+      ON f.job_id = v.job_id))"""
+SCORED = ("params",) + PF + ("verdicts", "scored")

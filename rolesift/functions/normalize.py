@@ -105,11 +105,14 @@ ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2}
 
 
 def canonical_timestamp(value: Column) -> Column:
-    """Epoch seconds, epoch milliseconds (13 digits) or ISO text to a UTC timestamp."""
+    """Epoch seconds, epoch milliseconds or ISO text to a UTC timestamp.
+
+    Numbers past the last representable second are read as milliseconds.
+    """
     v = strip(value.cast("string"))
     digits = v.rlike(r"^\d+$")
     epoch = F.when(digits, v.try_cast("long"))
-    seconds = F.when(F.length(v) == 13, F.floor(epoch / 1000)).otherwise(epoch)
+    seconds = F.when(epoch > MAX_EPOCH_SECONDS, F.floor(epoch / 1000)).otherwise(epoch)
     from_epoch = F.timestamp_seconds(F.when(seconds <= MAX_EPOCH_SECONDS, seconds))
     from_iso = F.when(v.rlike(ISO), F.date_trunc("second", v.try_cast("timestamp")))
     return F.coalesce(from_epoch, F.when(~digits, from_iso))
@@ -294,7 +297,8 @@ def coerce_list(values: Column) -> Column:
                       F.array().cast("array<string>"))
 
 
-SLUG_SUFFIXES = (" inc.", " inc", " corp.", " corp", " ltd", " llc", " entertainment",
+# Name endings that slugs leave out, tried in this order.
+SLUG_SUFFIXES = (r" inc\.", " inc", r" corp\.", " corp", " ltd", " llc", " entertainment",
                  " international", " company", " games", ", the")
 
 
@@ -302,8 +306,7 @@ def slug_candidates(name: Column, current: Column | None = None) -> Column:
     """Ordered distinct slugs a company may use on a hiring platform."""
     n = strip(F.lower(name))
     for suffix in SLUG_SUFFIXES:
-        n = F.when(F.endswith(n, F.lit(suffix)),
-                   strip(F.substring(n, F.lit(1), F.length(n) - len(suffix)))).otherwise(n)
+        n = strip(F.regexp_replace(n, suffix + "$", ""))
     words = F.filter(F.split(F.regexp_replace(n, "[^a-z0-9 ]+", ""), " +"), lambda w: w != "")
     first, second = F.get(words, 0), F.get(words, 1)
     options = [F.array_join(words, "-"), F.array_join(words, ""), first,

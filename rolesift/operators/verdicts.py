@@ -149,26 +149,32 @@ def _usable(text: Column) -> Column:
     return F.when(_json_number(obj, "$.score").isNotNull(), text)
 
 
+_TEXT_FIELDS = ("rationale", "work_mode", *ALLOWED)
+
+
 def _typed(df: DataFrame, source: str) -> DataFrame:
+    """Verdict columns of the JSON in ``source``, read in two projections: values out of
+    the object first, then the coercions that look at each value several times."""
     obj = F.col("_obj")
-    concern_kind = F.schema_of_variant(F.try_variant_get(obj, "$.life_fit_concerns", "variant"))
     items = F.try_variant_get(obj, "$.life_fit_concerns", "array<variant>")
     texts = F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING",
                                                 F.try_variant_get(v, "$", "string")))
-    one = F.array(_json_text(obj, "$.life_fit_concerns"))
-    concerns = F.when(concern_kind == "STRING", one).otherwise(texts)
-    score = F.bround(_json_number(obj, "$.score"))
-    return df.withColumn("_obj", F.try_parse_json(F.col(source))).withColumns({
-        "semantic_score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).cast("int"),
-        "semantic_rationale": F.substring(
-            strip(text_or_empty(_json_text(obj, "$.rationale"))), 1, 240),
-        "verdict_work_mode": normalize_work_mode(_json_text(obj, "$.work_mode")),
-        "watchlist_dream": coerce_bool_json(
-            F.try_variant_get(obj, "$.watchlist_dream", "string")),
-        "life_fit_concerns": coerce_str_list(concerns),
-        **{name: coerce_enum(_json_text(obj, f"$.{name}"), values)
-           for name, values in ALLOWED.items()},
-    }).drop("_obj")
+    one = _json_text(obj, "$.life_fit_concerns")
+    read = df.withColumn("_obj", F.try_parse_json(F.col(source))).withColumns({
+        "_score": F.bround(_json_number(obj, "$.score")),
+        "_dream": F.try_variant_get(obj, "$.watchlist_dream", "string"),
+        "_concerns": F.when(one.isNotNull(), F.array(one)).otherwise(texts),
+        **{f"_{n}": _json_text(obj, f"$.{n}") for n in _TEXT_FIELDS}})
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("_score")))
+    typed = read.withColumns({
+        "semantic_score": score.cast("int"),
+        "semantic_rationale": F.substring(strip(text_or_empty(F.col("_rationale"))), 1, 240),
+        "verdict_work_mode": normalize_work_mode(F.col("_work_mode")),
+        "watchlist_dream": coerce_bool_json(F.col("_dream")),
+        "life_fit_concerns": coerce_str_list(F.col("_concerns")),
+        **{n: coerce_enum(F.col(f"_{n}"), values) for n, values in ALLOWED.items()}})
+    return typed.drop("_obj", "_score", "_dream", "_concerns",
+                      *[f"_{n}" for n in _TEXT_FIELDS])
 
 
 def parse(replies: DataFrame, raw: str = "raw_text") -> DataFrame:
