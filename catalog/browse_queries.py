@@ -218,9 +218,14 @@ add("filter_min_salary", lambda s, d: B.postings(s, d).where(
     BR.min_salary(200000)).select("job_id"),
     """SELECT job_id FROM postings WHERE coalesce(nullif(salary_min, 0), nullif(salary_max, 0),
     0) >= 200000""", "postings")
-add("browse_params", lambda s, d: B.table(s, d, "nation").select(F.lit(str(
-    BR.browse_params({"limit": "999", "offset": "-3", "min_score": "x", "sort_by": "semantic",
-                      "dedup": "off", "industries": " a, ,b"}))).alias("spec")).distinct())
+_PARAMS = {"limit": "999", "offset": "-3", "min_score": "x", "min_qol": "35",
+           "sort_by": "semantic", "dedup": "off", "industries": " gaming, ,tabletop"}
+add("browse_params", lambda s, d: BR.browse(scored(s, d), BR.browse_params(_PARAMS)).select(
+    "job_id", _int("score")),
+    """SELECT job_id, CAST(score AS BIGINT) AS score FROM scored WHERE status = 'active'
+    AND qol_score >= 35 AND (contains('|' || industries || '|', '|gaming|')
+      OR contains('|' || industries || '|', '|tabletop|'))
+    ORDER BY score DESC, job_id LIMIT 200""", *SCORED)
 add("filter_fresh_cutoff", lambda s, d: B.postings(s, d).join(
     B.verdicts(s, d).select("job_id", "semantic_scored_at"), "job_id", "left").where(
     BR.not_fresh("semantic_scored_at", B.as_of() - F.make_dt_interval(days=F.lit(400))))

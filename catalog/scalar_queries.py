@@ -456,6 +456,22 @@ def company_sql(z: str) -> str:
             f"regexp_matches({z}, '\\d')) AND lower({z}) NOT IN ({names}))")
 
 
+def assign_sql(rows: str, host: str, extra: str = "NULL AS pay") -> str:
+    """SQL of title, company and location for rows of (k, t)."""
+    return f"""WITH cut AS (SELECT k, t, {_HEAD} AS head, {_SEGS} AS l FROM {rows}),
+    named AS (SELECT *, len(l) >= 2 AND {title_sql('l[1]')} AND
+        regexp_matches(l[1], {q(T.STRONG_ROLE)}, 'i') AS swap, {host} AS host FROM cut),
+    pick AS (SELECT *, CASE WHEN swap THEN l[1] ELSE
+        list_filter(l[2:], lambda z: {title_sql('z')})[1] END AS title,
+      CASE WHEN swap THEN coalesce(host, list_filter(l[2:], lambda z: {company_sql('z')})[1])
+        ELSE l[1] END AS company FROM named)
+    SELECT CAST(k AS VARCHAR) AS native_id, title, company,
+      list_filter(l[3:], lambda z: {any_sql('lower(z)', T.LOCATION_TOKENS)})[1] AS location,
+      contains(lower(head), 'remote') AS remote, {extra}
+    FROM pick WHERE title IS NOT NULL AND company IS NOT NULL AND length(company) <= 80
+      AND length(title) <= 200"""
+
+
 def _heads_df(s: SparkSession, d: str) -> DataFrame:
     return _p(s, d).select("job_id", "k", "posted_at", _heads().alias("t"))
 
@@ -480,22 +496,10 @@ add("hn_assign", lambda s, d: thread_jobs(_heads_df(s, d).select(
     F.col("k").alias("comment_id"), F.col("posted_at").alias("created_at"), "t"),
     text=F.col("t")).select("native_id", "title", "company", "location", "remote",
                             "salary_min", "salary_max"),
-    f"""WITH cut AS (SELECT k, t, {_HEAD} AS head, {_SEGS} AS l
-      FROM (SELECT k, {variant_sql(_HEADS_SQL)} AS t FROM postings)),
-    named AS (SELECT *, len(l) >= 2 AND {title_sql('l[1]')} AND
-        regexp_matches(l[1], {q(T.STRONG_ROLE)}, 'i') AS swap,
-      CASE WHEN contains(t, 'https://careers.studio.com') THEN 'Studio' END AS host FROM cut),
-    pick AS (SELECT *, CASE WHEN swap THEN l[1] ELSE
-        list_filter(l[2:], lambda z: {title_sql('z')})[1] END AS title,
-      CASE WHEN swap THEN coalesce(host, list_filter(l[2:], lambda z: {company_sql('z')})[1])
-        ELSE l[1] END AS company FROM named)
-    SELECT CAST(k AS VARCHAR) AS native_id, title, company,
-      list_filter(l[3:], lambda z: {any_sql('lower(z)', T.LOCATION_TOKENS)})[1] AS location,
-      contains(lower(head), 'remote') AS remote,
-      CASE WHEN k % 5 = 0 THEN 150000::BIGINT END AS salary_min,
-      CASE WHEN k % 5 = 0 THEN 190000::BIGINT END AS salary_max
-    FROM pick WHERE title IS NOT NULL AND company IS NOT NULL AND length(company) <= 80
-      AND length(title) <= 200""", "postings")
+    assign_sql(f"(SELECT k, {variant_sql(_HEADS_SQL)} AS t FROM postings)",
+               "CASE WHEN contains(t, 'https://careers.studio.com') THEN 'Studio' END",
+               "CASE WHEN k % 5 = 0 THEN 150000::BIGINT END AS salary_min, "
+               "CASE WHEN k % 5 = 0 THEN 190000::BIGINT END AS salary_max"), "postings")
 
 
 # --- matching --------------------------------------------------------------

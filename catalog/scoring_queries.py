@@ -35,7 +35,7 @@ def _pf(key: str, column, name: str, sql_expr: str) -> None:
 
 
 _pf("pf_wrong_function", lambda: prefilter.wrong_function(
-    F.col("title_lo"), F.col("function_hit"), CFG), "reason", "r_function")
+    F.col("title_lo"), F.col("function_hit"), F.col("title_found"), CFG), "reason", "r_function")
 _pf("pf_seniority", lambda: prefilter.seniority(F.col("title_lo"), CFG), "reason",
     "r_seniority")
 _pf("pf_unpaid", lambda: prefilter.unpaid(FOUND(), CFG), "reason", "r_unpaid")

@@ -177,6 +177,9 @@ def first_phrase(text: Column | Found, phrases: Sequence[str]) -> Column:
     if isinstance(text, Found):
         return F.get(F.filter(literals(phrases),
                               lambda p: F.array_contains(text.column, p)), 0)
+    if len(phrases) <= INLINE_LIMIT:
+        return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases],
+                          F.lit(None).cast("string"))
     return F.get(F.filter(literals(phrases), lambda p: F.contains(text, p)), 0)
 
 

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from rolesift.config import vocabulary as V
 from rolesift.config.model import ScoringConfig
-from rolesift.functions.text import (Found, any_of, any_pattern, is_diluted, literals, present, strip)
+from rolesift.functions.text import (Found, any_of, any_pattern, find_phrases, is_diluted,
+                                     present, strip)
 
 
 def function_gate(title_lo: Column, cfg: ScoringConfig) -> Column:
     """Unlike the prefilter, leadership phrases are honoured before function phrases are
     looked at, and function phrases match anywhere in the title."""
-    exceptions = literals(cfg.leadership_exceptions)
-    saved = F.exists(exceptions, lambda e: F.contains(title_lo, e)
-                     & ~is_diluted(title_lo, e, cfg.diluting_prefixes))
-    diluted = F.exists(exceptions, lambda e: F.contains(title_lo, e)
-                       & is_diluted(title_lo, e, cfg.diluting_prefixes))
+    exceptions = cfg.leadership_exceptions
+    present_ones = find_phrases(title_lo, exceptions)
+    saved = F.exists(present_ones, lambda e: ~is_diluted(title_lo, e, cfg.diluting_prefixes))
+    diluted = any_of(title_lo, exceptions)  # only reached when none of them is undiluted
     acronym = any_pattern(title_lo, [rf"\b(?:{'|'.join(cfg.leadership_acronyms)})\b"])
     return (F.when(any_of(title_lo, cfg.priority_titles), True)
             .when(saved | acronym, False)

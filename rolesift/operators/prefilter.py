@@ -13,7 +13,7 @@ from rolesift.functions.text import (Found, any_of, any_pattern, build_text, fin
                                      text_or_empty, which_of)
 from rolesift.operators.companies import with_company_facts
 
-TEXTS = ("title_lo", "text_lo", "place_text", "function_hit", "text_found")
+TEXTS = ("title_lo", "text_lo", "place_text", "function_hit", "text_found", "title_found")
 
 
 def text_phrases(cfg: ScoringConfig) -> list[str]:
@@ -23,6 +23,12 @@ def text_phrases(cfg: ScoringConfig) -> list[str]:
     return [p for phrases in lists for p in phrases]
 
 
+def title_phrases(cfg: ScoringConfig) -> list[str]:
+    """Phrases of many-listed title rules."""
+    return [*cfg.leadership_exceptions, *V.WARN_TEMP_CONTRACT, *V.WARN_D2C_TITLE, *V.WARN_TPM,
+            *V.WARN_BELOW_VP, *cfg.positive_signals["senior_titles"]]
+
+
 def with_texts(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     """Lower-cased title, full text and place text, built once and read by every rule.
 
@@ -39,6 +45,7 @@ def with_texts(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     return out.withColumns({
         "function_hit": longest_phrase(F.col("title_lo"), cfg.function_titles),
         "text_found": find_phrases(F.col("text_lo"), text_phrases(cfg)),
+        "title_found": find_phrases(F.col("title_lo"), title_phrases(cfg)),
     })
 
 
@@ -46,7 +53,8 @@ def is_leadership_title(title_lo: Column, cfg: ScoringConfig) -> Column:
     return any_pattern(title_lo, cfg.leadership_patterns)
 
 
-def wrong_function(title_lo: Column, function_hit: Column, cfg: ScoringConfig) -> Column:
+def wrong_function(title_lo: Column, function_hit: Column, title_found: Column,
+                   cfg: ScoringConfig) -> Column:
     """Disqualifier text, NULL when the title's function is acceptable.
 
     Priority phrases always disqualify. Otherwise a function phrase must be present, and a
@@ -54,9 +62,9 @@ def wrong_function(title_lo: Column, function_hit: Column, cfg: ScoringConfig) -
     """
     exceptions = literals(cfg.leadership_exceptions)
     priority = first_phrase(title_lo, cfg.priority_titles)
-    saved = F.exists(exceptions, lambda e: F.contains(title_lo, e)
+    saved = F.exists(title_found, lambda e: e.isin(cfg.leadership_exceptions)
                      & ~is_diluted(title_lo, e, cfg.diluting_prefixes))
-    diluted = F.get(F.filter(exceptions, lambda e: F.contains(title_lo, e)
+    diluted = F.get(F.filter(exceptions, lambda e: F.array_contains(title_found, e)
                              & is_diluted(title_lo, e, cfg.diluting_prefixes)), 0)
     acronym = any_pattern(title_lo, [rf"\b(?:{'|'.join(cfg.leadership_acronyms)})\b"])
     return (F.when(priority.isNotNull(), F.concat(F.lit("priority_disqualifier:"), priority))
@@ -104,16 +112,16 @@ def positive_signals(text_lo: Column | Found, cfg: ScoringConfig) -> Column:
     return which_of(text_lo, cfg.positive_signals)
 
 
-def soft_warnings(title_lo: Column, text_lo: Column, flag: Column, cfg: ScoringConfig,
+def soft_warnings(title: Column | Found, text_lo: Column, flag: Column, cfg: ScoringConfig,
                   found: Found | None = None) -> Column:
     text = found or text_lo
     strong = [p for p in cfg.positive_signals["senior_titles"]
               if p not in V.WEAK_SENIOR_TITLES]
     return present({
-        "temp_contract": any_of(title_lo, V.WARN_TEMP_CONTRACT),
-        "d2c_in_title": any_of(title_lo, V.WARN_D2C_TITLE),
-        "tpm_title": any_of(title_lo, V.WARN_TPM),
-        "below_vp": any_of(title_lo, V.WARN_BELOW_VP) & ~any_of(title_lo, strong),
+        "temp_contract": any_of(title, V.WARN_TEMP_CONTRACT),
+        "d2c_in_title": any_of(title, V.WARN_D2C_TITLE),
+        "tpm_title": any_of(title, V.WARN_TPM),
+        "below_vp": any_of(title, V.WARN_BELOW_VP) & ~any_of(title, strong),
         "crunch_language": any_of(text, V.WARN_CRUNCH),
         "culture_red_flags": any_of(text, V.WARN_CULTURE),
         "high_travel": percent_after(text_lo, V.TRAVEL_PATTERN, 2) >= 50,
@@ -139,7 +147,7 @@ def prefilter(df: DataFrame, cfg: ScoringConfig,
     base = with_texts(with_company_facts(df, cfg, companies), cfg)
     t, x, found = F.col("title_lo"), F.col("text_lo"), Found(F.col("text_found"))
     first = base.withColumns({
-        "_function": wrong_function(t, F.col("function_hit"), cfg),
+        "_function": wrong_function(t, F.col("function_hit"), F.col("title_found"), cfg),
         "_seniority": seniority(t, cfg),
         "_unpaid": unpaid(found, cfg),
         "industry": industry(F.col("map_industry"), found, cfg),
@@ -155,7 +163,8 @@ def prefilter(df: DataFrame, cfg: ScoringConfig,
                                        F.lit("passed")),
         "passed_prefilter": F.coalesce("_function", "_seniority", "_unpaid").isNull(),
         "industry_score": industry_score(F.col("industry"), cfg),
-        "soft_warnings": soft_warnings(t, x, F.col("location_flag"), cfg, found),
+        "soft_warnings": soft_warnings(
+            Found(F.col("title_found")), x, F.col("location_flag"), cfg, found),
         "track": track(F.col("positive_signals"), F.col("industry"), cfg),
     })
     third = second.withColumn("is_dream_company", F.col("map_industry").isNotNull()

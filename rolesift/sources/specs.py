@@ -451,7 +451,9 @@ def _remote_game_jobs(_: Column) -> dict[str, Column]:
     pattern = r"(?i)^(.+?)\s+is hiring\s+(.+?)\s*\(Remote Job\)\s*$"
     tip = F.col("tip")
     return {"native_id": _slug(),
-            "title": _or(F.col("strong"), F.regexp_extract(tip, pattern, 2), tip),
+            "title": F.coalesce(_text(F.col("strong")), F.when(
+                tip.rlike(pattern), F.regexp_extract(tip, pattern, 2))
+                .when(~tip.rlike(r"(?i)is hiring\s*\(Remote Job\)"), tip)),
             "company": _or(F.col("small"),
                            F.regexp_extract(tip, r"(?i)^(.+?)\s+is hiring\s+", 1)),
             "url": F.col("url"), "location": F.lit("Remote"),
