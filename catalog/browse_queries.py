@@ -561,10 +561,9 @@ add("join_anti", lambda s, d: TB.missing_ids(B.postings(s, d), _wanted(s, d)),
 add("join_phrases", lambda s, d: CO.phrase_matches(
     B.postings(s, d).select("job_id", "title"), CFG.to_df(s).where(
         "kind = 'function_titles'"), "job_id", "title", 3).select("job_id", "phrase"),
-    "SELECT job_id, phrase FROM (SELECT job_id, unnest(" + "list_filter("
-    + B.array(CFG.function_titles) + ", lambda p: regexp_matches(lower(title), '\\b' || "
-    "replace(p, '-', '\\-') || '\\b') AND NOT contains(p, '-'))) AS phrase FROM postings)",
-    "postings")
+    "SELECT job_id, unnest(list_filter(" + B.array(CFG.function_titles) + ", lambda p: "
+    "contains(w, ' ' || p || ' '))) AS phrase FROM (SELECT job_id, ' ' || array_to_string("
+    "regexp_extract_all(lower(title), '\\w+'), ' ') || ' ' AS w FROM postings)", "postings")
 add("per_company_cap", lambda s, d: CO.cap_per_key(
     B.postings(s, d), "company_normalized", [F.col("posted_at").desc(), F.col("job_id")], 5)
     .select("job_id", "company_normalized"),
