@@ -276,25 +276,21 @@ add("src_sheet", lambda s, d: out(normalize_posting(
 
 
 def _stories(s: SparkSession, d: str) -> DataFrame:
-    """Stories made of orders per customer nation; titles alternate."""
-    p = B.postings(s, d).withColumn("story_id", (c("ck") % 50).cast("bigint"))
-    return p.groupBy("story_id").agg(
-        F.max(F.struct("posted_at", "k")).alias("last"),
+    """One story per customer with its orders as children; every second one is hiring."""
+    return B.postings(s, d).groupBy(c("ck").alias("story_id")).agg(
+        F.max(F.struct("posted_at", "k")).alias("created_at"),
         F.collect_list(F.struct(c("k").alias("id"), c("title").alias("text"),
                                 c("posted_at").alias("created_at"))).alias("children")) \
-        .select("story_id", F.when(c("story_id") % 2 == 0, "Ask: Who is HIRING? ")
-                .otherwise("Who wants to be hired?").alias("title"),
-                c("last").alias("created_at"), "children")
+        .withColumn("title", F.when(c("story_id") % 2 == 0, "Ask: Who is HIRING? ")
+                    .otherwise("Who wants to be hired?"))
 
 
 add("thread_children_scan", lambda s, d: A.explode_thread(_stories(s, d)).select(
     "story_id", "id", "text"),
-    """WITH st AS (SELECT *, ck % 50 AS story_id FROM postings),
-    newest AS (SELECT story_id FROM (SELECT story_id, max(posted_at) AS p,
-        arg_max(k, (posted_at, k)) AS kk FROM st GROUP BY 1) WHERE story_id % 2 = 0
-      ORDER BY p DESC, kk DESC LIMIT 1)
-    SELECT story_id, k AS id, title AS text FROM st WHERE title <> ''
-      AND story_id = (SELECT story_id FROM newest)""", "postings")
+    """WITH newest AS (SELECT ck FROM postings WHERE ck % 2 = 0
+      ORDER BY posted_at DESC, k DESC LIMIT 1)
+    SELECT ck AS story_id, k AS id, title AS text FROM postings WHERE title <> ''
+      AND ck = (SELECT ck FROM newest)""", "postings")
 add("ats_company_scan", lambda s, d: A.with_company_meta(
     B.postings(s, d).select("job_id", _slug().alias("ats_slug")), B.companies(s, d), "lever")
     .select("job_id", "ats_slug", F.col("company_meta.tier").alias("tier")),
@@ -309,13 +305,13 @@ add("html_listing_scan", lambda s, d: extract_cards(
     FROM (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS rn
       FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS pos
         FROM (SELECT page_id, regexp_extract_all(html,
-          '(?s)<a\\s[^>]*?href="([^"]*)"[^>]*>.*?</a>', 1) AS l FROM pages))
+          '(?s)<a\\s[^>]*?href=["'']([^"'']*)["''][^>]*>.*?</a>', 1) AS l FROM pages))
       WHERE regexp_matches(href, '^/[A-Za-z]')) WHERE rn = 1""")
 add("page_anchors", lambda s, d: anchor_cards(
     B.table(s, d, "pages").select("page_id", "html")).groupBy("page_id").agg(
     F.count(F.lit(1)).alias("n")),
     """SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html,
-    '(?s)<a\\s[^>]*?href="([^"]*)"[^>]*>.*?</a>', 1)) FROM pages) GROUP BY 1""")
+    '(?s)<a\\s[^>]*?href=["'']([^"'']*)["''][^>]*>.*?</a>', 1)) FROM pages) GROUP BY 1""")
 
 
 def _dictionary_counts(s: SparkSession, d: str) -> DataFrame:

@@ -80,11 +80,11 @@ def explode_thread(stories: DataFrame) -> DataFrame:
     ``stories``: story_id, title, created_at, children array<struct<id, text, created_at>>.
     """
     hiring = stories.where(F.contains(F.lower("title"), F.lit("who is hiring")))
-    newest = hiring.agg(F.max_by(F.struct("story_id", "children"), "created_at").alias("s"))
-    return newest.select(F.col("s.story_id").alias("story_id"),
-                         F.explode("s.children").alias("c")) \
-        .where(F.coalesce(F.col("c.text"), F.lit("")) != "") \
-        .select("story_id", "c.*")
+    # A single row, so broadcasting it is safe whatever the archive holds.
+    newest = hiring.agg(F.max_by("story_id", "created_at").alias("story_id"))
+    return stories.join(F.broadcast(newest), "story_id") \
+        .select("story_id", F.explode("children").alias("c")) \
+        .where(F.coalesce(F.col("c.text"), F.lit("")) != "").select("story_id", "c.*")
 
 
 def with_company_meta(payloads: DataFrame, companies: DataFrame, ats: str,

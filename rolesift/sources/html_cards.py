@@ -198,7 +198,7 @@ def absolute_url(base: str, href: Column) -> Column:
         .otherwise(F.concat(host, F.lit("/"), href))
 
 
-ANCHOR = r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>.*?</a>"
+ANCHOR = r"""(?s)<a\s[^>]*?href=["']([^"']*)["'][^>]*>.*?</a>"""
 
 
 def anchor_cards(pages: DataFrame, html: str = "html") -> DataFrame:

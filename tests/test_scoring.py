@@ -191,3 +191,18 @@ def test_dictionaries_as_rows(spark, kind):
     rows = CFG.to_df(spark).where(F.col("kind") == kind).count()
     value = getattr(CFG, kind)
     assert rows == (len(value) if isinstance(value, list) else sum(map(len, value.values())))
+
+
+def test_facet_labels_list_only_tiers_in_use(spark):
+    companies = spark.createDataFrame([("S",), ("2",), (None,), (" s ",)], "tier string")
+    rows = classify.facet_labels(spark, CFG, companies).where(
+        "facet = 'company_groups' AND value LIKE 'tier%'").orderBy("ord").collect()
+    assert [(r["value"], r["label"]) for r in rows] == [("tier_s", "Tier S"),
+                                                        ("tier_2", "Tier 2")]
+
+
+def test_shards_partition_the_table(spark):
+    from rolesift.operators.tables import shard
+    ids = spark.range(500).selectExpr("concat('s:', id) AS job_id")
+    parts = [{r[0] for r in shard(ids, i, 4).collect()} for i in range(4)]
+    assert sum(map(len, parts)) == 500 == len(set().union(*parts))
