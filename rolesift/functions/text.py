@@ -108,6 +108,8 @@ def find_phrases(text: Column, phrases: Iterable[str]) -> Column:
     shorter phrases that begin a longer one are added from a lookup.
     """
     known = sorted({p for p in phrases if p})
+    if not known:
+        return F.array().cast("array<string>")
     longest = F.array_distinct(F.regexp_extract_all(
         text, F.lit("(?=(" + shared_pattern(known) + "))"), 1))
     shorter = {p: [q for q in known if p.startswith(q)] for p in known}

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from rolesift.config import vocabulary as V
 from rolesift.config.model import ScoringConfig
-from rolesift.functions.text import any_of, build_text, first_of, present, text_or_empty
+from rolesift.functions.text import (Found, any_of, build_text, find_phrases, first_of, present,
+                                     text_or_empty)
 from rolesift.operators.companies import company_key
 
 
-def industries(text_lo: Column, key: Column, cfg: ScoringConfig) -> Column:
+def industries(text_lo: Column | Found, key: Column, cfg: ScoringConfig) -> Column:
     """Every industry whose company list holds the company or whose keywords hit."""
     flags = {}
     for name, rule in cfg.industries.items():
@@ -21,7 +22,7 @@ def industries(text_lo: Column, key: Column, cfg: ScoringConfig) -> Column:
     return present(flags)
 
 
-def role_types(title_lo: Column, text_lo: Column, cfg: ScoringConfig) -> Column:
+def role_types(title_lo: Column, text_lo: Column | Found, cfg: ScoringConfig) -> Column:
     """Role types by title; an excluded title does not fall back to the description."""
     flags = {}
     for name, rule in cfg.role_types.items():
@@ -42,22 +43,31 @@ def company_group(key: Column, tier: Column, cfg: ScoringConfig) -> Column:
         *groups, F.lit(None).cast("string")))
 
 
-def engagement_type(title: Column, description: Column) -> Column:
+def padded(text: Column) -> Column:
+    """Lower-cased with a space on both sides, so phrases can ask for word edges."""
+    return F.concat(F.lit(" "), F.lower(text_or_empty(text)), F.lit(" "))
+
+
+def engagement_of(title: Column | Found, description: Column | Found, blank: Column) -> Column:
     """Engagement label: every rule against the title first, then the description."""
-    t = F.concat(F.lit(" "), F.lower(text_or_empty(title)), F.lit(" "))
-    d = F.concat(F.lit(" "), F.lower(text_or_empty(description)), F.lit(" "))
-    blank = F.btrim(t, F.lit(" \t\n\r\x0b\x0c")) == ""
-    return F.coalesce(first_of(t, V.ENGAGEMENT_RULES), first_of(d, V.ENGAGEMENT_RULES),
+    return F.coalesce(first_of(title, V.ENGAGEMENT_RULES),
+                      first_of(description, V.ENGAGEMENT_RULES),
                       F.when(blank, "unclear"), F.lit("fulltime"))
 
 
+def engagement_type(title: Column, description: Column) -> Column:
+    blank = F.btrim(padded(title), F.lit(" \t\n\r\x0b\x0c")) == ""
+    return engagement_of(padded(title), padded(description), blank)
+
+
 def qol_breakdown(work_mode: Column, salary_min: Column, salary_max: Column,
-                  posted_at: Column, description: Column, as_of: Column,
+                  posted_at: Column, description: Column | Found, as_of: Column,
                   cfg: ScoringConfig) -> Column:
     """map(name -> points) of the quality-of-life signals that fired."""
     w = cfg.qol_weights
     mode = F.lower(F.trim(text_or_empty(work_mode)))
-    desc = F.lower(text_or_empty(description))
+    desc = description if isinstance(description, Found) \
+        else F.lower(text_or_empty(description))
     lo, hi = F.when(salary_min > 0, salary_min), F.when(salary_max > 0, salary_max)
     paid = F.coalesce(lo, hi)
     conditions = {
@@ -94,17 +104,26 @@ def score_colour(score: Column) -> Column:
             .when(score >= 65, "s-yellow").when(score >= 50, "s-orange").otherwise("s-gray"))
 
 
+def text_phrases(cfg: ScoringConfig) -> list[str]:
+    """Everything industries and role types look for in the text."""
+    lists = [r.get("keywords") or [] for r in cfg.industries.values()]
+    lists += [r.get("description_keywords") or [] for r in cfg.role_types.values()]
+    return [p for phrases in lists for p in phrases]
+
+
 def classify(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Add industries, role_types and company_group in one projection."""
+    """Add industries, role_types and company_group."""
     key = company_key(F.col("company_normalized"), F.col("company"))
+    text = build_text(F.col("title"), F.col("company"), F.col("description"))
     texts = df.withColumns({
         "_title": F.lower(text_or_empty(F.col("title"))),
-        "_text": build_text(F.col("title"), F.col("company"), F.col("description")),
+        "_text": find_phrases(text, text_phrases(cfg)),
         "_key": key,
     })
+    found = Found(F.col("_text"))
     return texts.withColumns({
-        "industries": industries(F.col("_text"), F.col("_key"), cfg),
-        "role_types": role_types(F.col("_title"), F.col("_text"), cfg),
+        "industries": industries(found, F.col("_key"), cfg),
+        "role_types": role_types(F.col("_title"), found, cfg),
         "company_group": company_group(F.col("_key"), F.col("company_tier"), cfg),
     }).drop("_title", "_text", "_key")
 
@@ -112,13 +131,22 @@ def classify(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
 def with_classifiers(df: DataFrame, cfg: ScoringConfig, as_of: Column) -> DataFrame:
     """Tags, quality of life and engagement. Quality of life reads the *stored* work mode,
     so it follows a new verdict one run later."""
-    tagged = classify(df, cfg).withColumns({
-        "engagement_type": engagement_type(F.col("title"), F.col("description")),
+    rules = [p for phrases in V.ENGAGEMENT_RULES.values() for p in phrases]
+    perks = [p for phrases in cfg.qol_keywords.values() for p in phrases]
+    read = classify(df, cfg).withColumns({
+        "_in_title": find_phrases(padded(F.col("title")), rules),
+        "_in_text": find_phrases(padded(F.col("description")), rules + perks),
+    })
+    title, text = Found(F.col("_in_title")), Found(F.col("_in_text"))
+    blank = F.btrim(text_or_empty(F.col("title")), F.lit(" \t\n\r\x0b\x0c")) == ""
+    tagged = read.withColumns({
+        "engagement_type": engagement_of(title, text, blank),
         "qol_breakdown": qol_breakdown(F.col("work_mode"), F.col("salary_min"),
-                                       F.col("salary_max"), F.col("posted_at"),
-                                       F.col("description"), as_of, cfg),
+                                       F.col("salary_max"), F.col("posted_at"), text, as_of,
+                                       cfg),
     })
-    return tagged.withColumn("qol_score", qol_score(F.col("qol_breakdown")))
+    return tagged.withColumn("qol_score", qol_score(F.col("qol_breakdown"))) \
+        .drop("_in_title", "_in_text")
 
 
 def _label(name: str) -> str:

@@ -120,6 +120,11 @@ def salvage(raw: pd.Series) -> pd.Series:
     return raw.map(_close_open)
 
 
+# Keeps the optimizer from copying the repair, and all that leads to it, into the filter
+# that follows; the repair runs once per reply.
+salvage = salvage.asNondeterministic()
+
+
 def _unfenced(raw: Column) -> Column:
     text = strip(raw)
     inner = F.regexp_replace(F.regexp_replace(text, r"^```[a-zA-Z]*\n?", ""),
@@ -143,24 +148,18 @@ def _json_text(obj: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(obj, path, "string"))
 
 
-def _usable(text: Column) -> Column:
-    """Parsed object when the text is a JSON object with a numeric score."""
-    obj = F.try_parse_json(text)
-    return F.when(_json_number(obj, "$.score").isNotNull(), text)
-
-
 _TEXT_FIELDS = ("rationale", "work_mode", *ALLOWED)
 
 
-def _typed(df: DataFrame, source: str) -> DataFrame:
-    """Verdict columns of the JSON in ``source``, read in two projections: values out of
+def _typed(df: DataFrame) -> DataFrame:
+    """Verdict columns of the object in ``_obj``, read in two projections: values out of
     the object first, then the coercions that look at each value several times."""
     obj = F.col("_obj")
     items = F.try_variant_get(obj, "$.life_fit_concerns", "array<variant>")
     texts = F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING",
                                                 F.try_variant_get(v, "$", "string")))
     one = _json_text(obj, "$.life_fit_concerns")
-    read = df.withColumn("_obj", F.try_parse_json(F.col(source))).withColumns({
+    read = df.withColumns({
         "_score": F.bround(_json_number(obj, "$.score")),
         "_dream": F.try_variant_get(obj, "$.watchlist_dream", "string"),
         "_concerns": F.when(one.isNotNull(), F.array(one)).otherwise(texts),
@@ -181,19 +180,24 @@ def parse(replies: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Typed verdict columns from raw replies; replies without a numeric score are dropped.
 
     Three readings are tried: the unfenced reply, the widest ``{…}`` in it, and the
-    repaired reply. The repair is the only Python step and sees only the replies the
-    first two readings failed on.
+    repaired reply. Each reading happens only where the ones before it failed, and the
+    repair, the only Python step, receives NULL for every reply that already parsed.
     """
-    body = _unfenced(F.col(raw))
+    score = "$.score"
     block = F.nullif(F.regexp_extract(F.col(raw), r"(?s)\{.*\}", 0), F.lit(""))
-    read = replies.withColumn("_body", body).withColumn(
-        "_json", F.coalesce(_usable(F.col("_body")), _usable(block)))
-    good = read.where(F.col("_json").isNotNull())
-    rest = (read.where(F.col("_json").isNull() & F.col("_body").isNotNull())
-            .withColumn("_json", salvage(F.col("_body")))
-            .withColumn("_json", _usable(F.col("_json")))
-            .where(F.col("_json").isNotNull()))
-    return _typed(good.unionByName(rest), "_json").drop("_body", "_json")
+    whole = replies.withColumn("_body", _unfenced(F.col(raw))) \
+        .withColumn("_o1", F.try_parse_json("_body")) \
+        .withColumn("_s1", _json_number(F.col("_o1"), score))
+    inner = whole.withColumn("_o2", F.when(F.col("_s1").isNull(), F.try_parse_json(block))) \
+        .withColumn("_s2", _json_number(F.col("_o2"), score))
+    lost = F.col("_s1").isNull() & F.col("_s2").isNull()
+    fixed = inner.withColumn("_fix", salvage(F.when(lost, F.col("_body")))) \
+        .withColumn("_o3", F.try_parse_json("_fix")) \
+        .withColumn("_s3", _json_number(F.col("_o3"), score))
+    chosen = fixed.withColumn("_obj", F.coalesce(
+        *[F.when(F.col(f"_s{n}").isNotNull(), F.col(f"_o{n}")) for n in (1, 2, 3)]))
+    helpers = ["_body", "_fix", *[f"_{kind}{n}" for kind in "os" for n in (1, 2, 3)]]
+    return _typed(chosen.where(F.col("_obj").isNotNull()).drop(*helpers))
 
 
 # ---------------------------------------------------------------------------
