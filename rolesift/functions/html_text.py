@@ -25,6 +25,10 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else _html.unescape(v))
 
 
+# Not deterministic for the optimizer, so that a filter on the text does not decode twice.
+_unescape = _unescape.asNondeterministic()
+
+
 def strip_html_full(c: Column) -> Column:
     """Tags to spaces and every named or numeric entity decoded."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")

@@ -52,6 +52,16 @@ def build_text(*cols: Column, keep_empty: bool = False) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
+def computed_once(c: Column) -> Column:
+    """The value as a generated row of one.
+
+    A filter on a projected column is pushed below the projection and repeats its
+    expression there; it is not pushed below a generator. Worth it for whole-payload
+    parsing and similar work that filters look at.
+    """
+    return F.explode(F.array(c))
+
+
 def literals(phrases: Iterable[str]) -> Column:
     return F.array(*[F.lit(p) for p in phrases])
 

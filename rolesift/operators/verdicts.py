@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from rolesift.config.model import ScoringConfig
-from rolesift.functions.text import any_of, strip, text_or_empty
+from rolesift.functions.text import any_of, computed_once, strip, text_or_empty
 from rolesift.operators import prefilter as pf
 from rolesift.operators.classify import with_classifiers
 from rolesift.operators.weighted import tier_from_score
@@ -292,7 +292,8 @@ def message() -> Column:
 def requests(prefiltered: DataFrame, verdicts: DataFrame, as_of: Column, cfg: ScoringConfig,
              force: bool = False) -> DataFrame:
     """job_id and request text of passed postings without a fresh verdict."""
-    todo = prefiltered.where("passed_prefilter")
+    todo = prefiltered.withColumn("_ask", computed_once(F.col("passed_prefilter"))) \
+        .where("_ask").drop("_ask")
     if not cfg.verdicts_enabled:
         todo = todo.where(F.lit(False))
     elif not force:

@@ -165,7 +165,9 @@ def html_fields(df: DataFrame, picks: dict[str, Pick], html: str = "html") -> Da
             rows.append([_read(tree, p) for p in picks.values()])
         return pd.DataFrame(rows, columns=list(picks))
 
-    return df.withColumn("_f", read(F.col(html))).select("*", "_f.*").drop("_f")
+    # Not deterministic for the optimizer, so that a filter on a field does not read twice.
+    once = read.asNondeterministic()
+    return df.withColumn("_f", once(F.col(html))).select("*", "_f.*").drop("_f")
 
 
 def cut_cards(card: Pick, href: Pick) -> "Column":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rolesift.functions import normalize as N
 from rolesift.functions.html_text import strip_html_basic, strip_html_full
-from rolesift.functions.text import any_of, filled, strip
+from rolesift.functions.text import any_of, computed_once, filled, strip
 from rolesift.sources.html_cards import Pick, html_fields
 
 RAW_FIELDS = {"native_id": "string", "title": "string", "company": "string", "url": "string",
@@ -56,7 +56,7 @@ def raw_jobs(df: DataFrame, spec: SourceSpec) -> DataFrame:
     if spec.schema:
         meta_in = "company_meta" in df.columns
         ddl = spec.schema + f", _company_meta {META}"
-        parsed = df.withColumn("p", F.from_json("payload", ddl))
+        parsed = df.withColumn("p", computed_once(F.from_json("payload", ddl)))
         meta = F.coalesce(F.col("company_meta"), F.col("p._company_meta")) if meta_in \
             else F.col("p._company_meta")
         source = parsed.withColumn("_meta", meta)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolesift.functions import thread as T
 from rolesift.functions.html_text import strip_html_full
 from rolesift.functions.normalize import parse_salary_range
+from rolesift.functions.text import computed_once
 from rolesift.sources.specs import RAW_FIELDS, normalize_posting
 
 SOURCE = "hnhiring"
@@ -23,9 +24,9 @@ def thread_jobs(comments: DataFrame, text: Column | None = None) -> DataFrame:
     base = comments.select("comment_id", "created_at", clean.alias("body"))
     cut = base.where(F.col("body") != "").withColumns({
         "head": T.head_of(F.col("body")), "parts": T.segments(F.col("body"))})
-    named = cut.where(F.size("parts") > 0).withColumns({
-        "a": T.assign(F.col("body"), F.col("parts")),
-        "pay": parse_salary_range(F.col("head"))})
+    named = cut.where(F.size("parts") > 0).withColumn(
+        "a", computed_once(T.assign(F.col("body"), F.col("parts")))).withColumn(
+        "pay", parse_salary_range(F.col("head")))
     values = {
         "native_id": F.col("comment_id").cast("string"), "title": F.col("a.title"),
         "company": F.col("a.company"),
