@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # UTC and ANSI are semantic requirements; the rest lets Spark size the plan itself.
@@ -34,12 +36,30 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """Folder every executor can reach, for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; ``fallback`` is for sessions
-    (tests) that leave it unset.
+    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` serves sessions that leave
+    it unset and run in one process, where a local folder is shared; elsewhere it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+    if fallback is None or not runs_in_one_process(spark):
+        raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
     return fallback
+
+
+def runs_in_one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """``shared_folder`` with a fresh temporary folder where that is allowed."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not runs_in_one_process(spark):
+        return shared_folder(spark)
+    key = spark.sparkContext.applicationId
+    if key not in _FOLDERS:
+        _FOLDERS[key] = tempfile.mkdtemp(prefix="spark-")
+    return shared_folder(spark, _FOLDERS[key])
+
+
+_FOLDERS: dict[str, str] = {}
