@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import common, quality
+from rolesift.llm import common, quality, token_counts, token_files
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,13 @@ def query(function):
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality.score(docs, quality.fit(docs, labels)).withColumn("llr", F.round("llr", 6))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
