@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import common, packing, quality, token_counts, token_files
+from rolesift.llm import (common, packing, quality, token_counts, token_files, warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_round_trip(table(spark, sf_dir, "pages")).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        "refers_to")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+f AS (SELECT html, MIN(page_id) AS original FROM p GROUP BY html),
+s AS (SELECT page_id, original, strlen(p.html) AS n, array_to_string(list_transform(
+        string_split(sha1(p.html), ''),
+        lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
+      FROM p JOIN f USING (html))
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5),
+         lambda j: CAST(substr(bits, 1 + 5 * i + j, 1) AS INT) * (16 >> CAST(j AS INT)))) AS INT),
+         1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM s
+"""
