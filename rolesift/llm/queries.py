@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, packing, quality, token_counts, token_files, warc)
+from rolesift.llm import (common, decontaminate, packing, quality, token_counts, token_files,
+                          warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,9 @@ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), la
        CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
 FROM s
 """
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.find(docs, items).withColumn("score", F.round("score", 6))
