@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, decontaminate, packing, quality, token_counts, token_files,
+from rolesift.llm import (common, decontaminate, line_dedup, packing, quality, token_counts, token_files,
                           warc)
 
 QUERIES = {}
@@ -70,3 +70,12 @@ FROM s
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.find(docs, items).withColumn("score", F.round("score", 6))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.remove(docs.select("doc_id", "text"))
+    return kept.select("doc_id", F.size(line_dedup.lines(F.col("text"))).alias("n_lines"),
+                       F.octet_length("text").cast("long").alias("n_bytes"),
+                       F.md5("text").alias("text_md5"))
