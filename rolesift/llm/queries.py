@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, decontaminate, line_dedup, packing, quality, token_counts, token_files,
-                          warc)
+from rolesift.llm import (common, decontaminate, licenses, line_dedup, packing, quality,
+                          token_counts, token_files, warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,69 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size(line_dedup.lines(F.col("text"))).alias("n_lines"),
                        F.octet_length("text").cast("long").alias("n_bytes"),
                        F.md5("text").alias("text_md5"))
+
+
+#: Documents as files: a directory per source, language and block of ids. A document that opens
+#: with a notice is the licence file of its block or sub-block.
+DOCUMENT_PATH = """source || '/' || lang || '/' || CAST(doc_id DIV 256 AS STRING) || '/' ||
+ CASE WHEN regexp_like(split_part(text, '\\n', 1), '(?i)licen[cs]e|copyright')
+      THEN CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id DIV 16 AS STRING) || '/' ELSE '' END
+           || 'LICENSE-' || CAST(doc_id AS STRING)
+      ELSE CAST(doc_id DIV 16 AS STRING) || '/' || CAST(doc_id AS STRING) || '.txt' END"""
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("text", F.expr(DOCUMENT_PATH).alias("path"))
+    return licenses.scan(files).select(
+        F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"),
+        "path", "licence", "how", "cosine", "licence_dir")
+
+
+def _license_sql() -> str:
+    rows = ",".join(f"('{a}','{b}',{n},{tf})" for a, b, n, tf in licenses.template_terms())
+    path = DOCUMENT_PATH.replace("DIV", "//").replace("STRING", "VARCHAR") \
+        .replace("regexp_like", "regexp_matches").replace("'\\n'", "chr(10)")
+    return f"""
+WITH t(licence, term, template, tf) AS (VALUES {rows}),
+files AS (SELECT text, {path} AS path FROM documents),
+folders AS (SELECT path, text, regexp_replace(path, '/[^/]*$', '') AS folder FROM files),
+lines AS (SELECT path, unnest(string_split(text, chr(10))) AS words,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
+terms AS (SELECT path, line, term, COUNT(*) AS tf FROM (
+            SELECT path, line, unnest(regexp_extract_all(lower(words), '{licenses.TERM}')) AS term
+            FROM lines WHERE regexp_matches(words, '{licenses.MARKER}')) GROUP BY ALL),
+n AS (SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT path, line FROM terms))
+           + (SELECT COUNT(DISTINCT template) FROM t) AS total),
+df AS (SELECT term, SUM(c) AS df FROM (
+         SELECT term, COUNT(*) AS c FROM t GROUP BY term UNION ALL
+         SELECT term, COUNT(*) FROM terms WHERE term IN (SELECT term FROM t) GROUP BY term)
+       GROUP BY term),
+idf AS (SELECT term, ln((1 + total) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM df, n),
+w AS (SELECT licence, term, template, tf * idf / sqrt(SUM(tf * idf * tf * idf)
+        OVER (PARTITION BY template)) AS weight FROM t JOIN idf USING (term)),
+v AS (SELECT path, line, term, tf * COALESCE(idf, ln(1 + total) + 1) AS value
+      FROM terms CROSS JOIN n LEFT JOIN idf USING (term)),
+z AS (SELECT path, line, sqrt(SUM(value * value)) AS size FROM v GROUP BY ALL),
+scored AS (SELECT path, licence, round(SUM(value * weight) / ANY_VALUE(size), 6) AS cosine
+           FROM v JOIN w USING (term) JOIN z USING (path, line)
+           GROUP BY path, line, licence, template),
+own AS (SELECT path, licence, cosine FROM scored WHERE cosine >= {licenses.Rule().threshold}
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) = 1),
+dirs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence FROM own
+         WHERE regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.LICENCE_FILE}')
+         QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
+near AS (SELECT folder, dir, licence FROM (SELECT DISTINCT folder FROM folders)
+         JOIN dirs ON folder = dir OR starts_with(folder, dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(dir) DESC) = 1)
+SELECT CAST(regexp_extract(f.path, '(\\d+)(?:\\.txt)?$', 1) AS BIGINT) AS doc_id, f.path,
+       COALESCE(own.licence, near.licence) AS licence,
+       CASE WHEN own.licence IS NOT NULL THEN 'notice' WHEN near.licence IS NOT NULL
+            THEN 'inherited' ELSE 'none' END AS how, own.cosine,
+       CASE WHEN own.licence IS NULL THEN near.dir END AS licence_dir
+FROM folders f LEFT JOIN own USING (path) LEFT JOIN near USING (folder)
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
