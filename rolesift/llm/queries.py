@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, decontaminate, licenses, line_dedup, packing, quality,
+from rolesift.llm import (common, decontaminate, jaccard, licenses, line_dedup, packing, quality,
                           token_counts, token_files, warc)
 
 QUERIES = {}
@@ -145,3 +145,8 @@ FROM folders f LEFT JOIN own USING (path) LEFT JOIN near USING (folder)
 
 
 ORACLES["op1_license_scan"] = _license_sql()
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
