@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import common, quality
+from rolesift.llm import common, decontaminate, jaccard, line_dedup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +13,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, quality.fit(docs, labels))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated multi-line chunks from the texts; every document stays."""
+    common.tuned(spark)
+    return line_dedup.remove(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that five-word shingles link at 0.8 or more."""
+    common.tuned(spark)
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of a benchmark item."""
+    items = common.tuned(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.clean(docs, items)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the documents into pieces and assign these to sequences."""
+    common.tuned(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines),
+          ("jaccard_join", dedup_documents), ("decontamination", drop_contaminated),
+          ("packing", pack)]
 #: Hashing, alignment and column generation have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 

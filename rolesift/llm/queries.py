@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.llm import (common, decontaminate, jaccard, licenses, line_dedup, packing, quality,
-                          token_counts, token_files, warc)
+                          pseudo_lm, token_counts, token_files, warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,10 @@ ORACLES["op1_license_scan"] = _license_sql()
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.train(docs)).withColumns({
+        c: F.round(c, 4) for c in ("log_likelihood", "mean_log_prob")})
