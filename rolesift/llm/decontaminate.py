@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of anything but white space and ASCII punctuation. A seed is an
+Words are runs, with A-Z lower-cased, of anything but white space and ASCII punctuation. A seed is an
 n-gram of a test item that is rare in the corpus: document frequencies of all item n-grams are
 counted over all documents first. Where a document holds a seed, the passage around it on the
 seed's diagonal is aligned with the item; the score is that of the best local alignment divided

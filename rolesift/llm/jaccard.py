@@ -14,8 +14,8 @@
    verified. Pairs within a component cannot change it and are not formed.
 5. Components of all verified links are found by alternating star contraction.
 
-Defined results: a null or empty text has no set, no links and its own id as component; rows
-that share an id count as one document; null ids count as one document that sorts last; an empty
+Defined results: a null or empty text has no set, no links and its own id as component; other
+rows that share an id count as one document; null ids count as one document that sorts last; an empty
 table gives no rows; other columns are not read. Hashes have 64 bits (48 in verification).
 """
 
@@ -249,7 +249,8 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
         F.max(F.struct("count", -F.col("hub"))).alias("best")).select(
             F.col("pivot").alias("a"), (-F.col("best.col2")).alias("b"))
     first = first.union(members.filter("pivot <> rep").select("rep", "pivot"))
-    links = verify(staged(first.distinct(), "first-pairs"), whole, rule)
+    links = verify(staged(first.distinct(), "first-pairs"), whole, rule).union(
+        shared_ids(marks, classes))
     labels = components(links)
 
     rest = verify(staged(across(shared, members, labels, rule), "rest-pairs"), whole, rule)
@@ -265,6 +266,15 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
         F.nullif("comp", F.lit(LAST_ID)).alias("component_id"))
 
 
+def shared_ids(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links from an id whose rows have different sets to the classes of these sets."""
+    several = marks.filter("n > 0").groupBy("id").agg(
+        F.min("f1").alias("x"), F.max("f1").alias("y")) \
+        .filter("x <> y").select("id")
+    return staged(marks.join(several, "id").join(classes, ["n", "f1", "f2"]).select(
+        F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "shared-ids")
+
+
 def whole_sets(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):
