@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from catalog.sqlgen import CFG, SCORED_CFG
 from rolesift.functions import text as X
 from rolesift.operators import browse as BR
 from rolesift.operators import prefilter, reports, tables, verdicts, weighted
-from rolesift.session import build_session, shared_folder
+from rolesift.session import build_session, work_folder
 
 
 def main() -> None:
@@ -30,10 +29,10 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
         "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    root = f"{shared_folder(spark, tempfile.mkdtemp(prefix='spark-', dir='/tmp'))}/bench"
+    root = f"{work_folder(spark)}/bench"
 
     def save(df, name):
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.repartition(int(cpus)).write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
     def run(df) -> None:
@@ -42,13 +41,13 @@ def main() -> None:
     start = time.time()
     companies = save(B.companies(spark, sf_dir), "companies")
     postings = save(B.postings(spark, sf_dir), "postings")
-    replied = save(replies(spark, sf_dir).repartition(int(cpus)), "replies")
+    replied = save(replies(spark, sf_dir), "replies")
     known = save(B.verdicts(spark, sf_dir), "verdicts")
     stored = save(_stored(spark, sf_dir), "stored")
     incoming = save(_incoming(spark, sf_dir), "incoming")
     scored_plan = verdicts.score_combined(postings, known, SCORED_CFG, B.as_of(), companies)
     scored = save(scored_plan, "scored")
-    docs = B.spread(B.table(spark, sf_dir, "documents"))
+    docs = save(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "documents")
     prepared = time.time() - start
     phrases = [p for ps in CFG.positive_signals.values() for p in ps]
     spec = BR.BrowseSpec(min_qol=20, work_modes=["remote", "hybrid"], min_salary=50000)

@@ -56,16 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer tasks than the cluster has cores.
-
-    Only small inputs qualify (one file with one row group); a large table already has
-    many more tasks than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
@@ -76,7 +66,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders joined with their customer, one posting per order."""
-    o, c = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("o_orderkey")
     price = F.floor("o_totalprice").cast("bigint")
     tier = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rolesift.functions.normalize import iso_z, score_posted
@@ -138,11 +139,11 @@ add("coerce_bool_json", lambda s, d: B.postings(s, d).select("job_id", VD.coerce
     "SELECT job_id, k % 7 IN (0, 1, 3) AS flag FROM postings", "postings")
 add("coerce_str_list", lambda s, d: B.postings(s, d).select("job_id", VD.coerce_str_list(
     F.array(F.lit(" a "), F.col("title"), F.lit(""), F.repeat("description", F.lit(3)),
-            F.col("company_tier"), F.lit("f"), F.lit("g"), F.lit("h"), F.lit("dropped")))
+            F.col("company_tier"), F.lit("f"), F.lit("g"), F.lit("h"), F.lit("ninth")))
     .alias("items")).select("job_id", joined("items")),
-    """SELECT job_id, array_to_string(list_transform(list_filter(list_transform([' a ', title,
-      '', repeat(description, 3), company_tier, 'f', 'g', 'h'], lambda v: trim(v)),
-      lambda v: v IS NOT NULL AND v <> ''), lambda v: left(v, 120)), '|') AS items
+    """SELECT job_id, array_to_string(list_filter(list_transform([' a ', title,
+      '', repeat(description, 3), company_tier, 'f', 'g', 'h', 'ninth'], lambda v: trim(v)),
+      lambda v: v IS NOT NULL AND v <> ''), '|') AS items
     FROM postings""", "postings")
 add("derive_tier", lambda s, d: scored(s, d).select("job_id", "tier"),
     "SELECT job_id, tier FROM scored", *SCORED)
@@ -274,9 +275,11 @@ _SORTS = {
     "sort_company": ("company_desc", "asc", "lower(trim(company)) DESC, score DESC"),
 }
 for _key, (_by, _dir, _order) in _SORTS.items():
-    add(_key, lambda s, d, b=_by, r=_dir: BR.paginate_offset(
-        scored(s, d), BR.BrowseSpec(sort_by=b, sort_dir=r, limit=100)).select("job_id"),
-        f"SELECT job_id FROM scored ORDER BY {_order}, job_id LIMIT 100", *SCORED)
+    add(_key, lambda s, d, b=_by, r=_dir: scored(s, d).select("job_id", F.row_number().over(
+        W.partitionBy("company_normalized").orderBy(*BR.sort_columns(b, r))).cast("bigint")
+        .alias("place")),
+        f"""SELECT job_id, row_number() OVER (PARTITION BY company_normalized
+        ORDER BY {_order}, job_id) AS place FROM scored""", *SCORED)
 _SPEC = BR.BrowseSpec(min_score=1, sort_by="qol", limit=40, offset=20)
 add("paginate_offset", lambda s, d: BR.paginate_offset(
     BR.apply_filters(scored(s, d), _SPEC), _SPEC).select("job_id", _int("qol_score")),
@@ -404,11 +407,10 @@ add("audit_subgroup", lambda s, d: R.with_audit(scored(s, d)).select(
 add("filter_views", lambda s, d: R.filter_views(R.with_audit(scored(s, d)), "3,1").select(
     "job_id", "view"),
     f"WITH {_AUDIT} SELECT job_id, view FROM audit WHERE view <> '{R.REVIEW}'", *SCORED)
-add("audit_sort", lambda s, d: R.audit_sort(R.with_audit(scored(s, d))).limit(500).select(
-    "job_id"),
+add("audit_sort", lambda s, d: R.audit_sort(R.with_audit(scored(s, d))).select("job_id"),
     f"""WITH {_AUDIT} SELECT job_id FROM audit ORDER BY view,
       CASE WHEN view <> '{R.REJECTS}' THEN -coalesce(nullif(semantic_score, 0), -1) END,
-      lower(company), CASE WHEN view = '{R.REJECTS}' THEN lower(title) END, job_id LIMIT 500""",
+      lower(company), CASE WHEN view = '{R.REJECTS}' THEN lower(title) END, job_id""",
     *SCORED)
 add("audit_summary", lambda s, d: R.audit_summary(R.with_audit(scored(s, d))),
     f"""WITH {_AUDIT} SELECT v.view, coalesce(sub_group, '') AS sub_group, count(job_id) AS n
@@ -446,20 +448,26 @@ def _items(s: SparkSession, d: str) -> DataFrame:
         F.floor("value").cast("bigint").alias("duration_ms"), (i % 1000 == 0).alias("fatal"))
 
 
+add("run_errors", lambda s, d: R.run_errors(_items(s, d)).withColumn(
+    "run_timestamp", iso_z(F.col("run_timestamp"))),
+    f"""SELECT event_type AS source_name,
+      {iso_sql("date_trunc('day', ts)::TIMESTAMP")} AS run_timestamp, event_id AS item_no,
+      'ValueError: ' || CAST(event_id AS VARCHAR) AS error FROM events
+    WHERE event_id % 4 = 0 AND event_type <> 'click'""")
 add("run_summary", lambda s, d: R.run_summary(_items(s, d)).withColumn(
     "run_timestamp", iso_z(F.col("run_timestamp"))),
     f"""SELECT source_name, {iso_sql('run_timestamp')} AS run_timestamp,
       CASE WHEN fatal THEN 'error' WHEN n_err > 0 THEN 'partial' ELSE 'ok' END AS status,
       jobs_found, jobs_new, jobs_updated, duration_ms,
-      CAST(epoch(run_timestamp) AS BIGINT) + 2592000 AS expires_at, error_message
+      CAST(epoch(run_timestamp) AS BIGINT) + 2592000 AS expires_at,
+      n_err AS n_errors, error_message
     FROM (SELECT event_type AS source_name, date_trunc('day', ts)::TIMESTAMP AS run_timestamp,
         count(*) AS jobs_found, count(CASE WHEN event_id % 4 IN (2, 3) THEN 1 END) AS jobs_new,
         count(CASE WHEN event_id % 4 = 1 THEN 1 END) AS jobs_updated,
         max(CAST(floor(value) AS BIGINT)) AS duration_ms, bool_or(event_id % 1000 = 0) AS fatal,
         count(CASE WHEN event_id % 4 = 0 AND event_type <> 'click' THEN 1 END) AS n_err,
-        left(string_agg(CASE WHEN event_id % 4 = 0 AND event_type <> 'click' THEN
-          'ValueError: ' || CAST(event_id AS VARCHAR) END, ' | ' ORDER BY event_id), 8000)
-          AS error_message
+        'ValueError: ' || CAST(min(CASE WHEN event_id % 4 = 0 AND event_type <> 'click' THEN
+          event_id END) AS VARCHAR) AS error_message
       FROM events GROUP BY 1, 2)""")
 _RUNS = f"""SELECT run_id, source_name, {iso_sql("date_trunc('second', run_timestamp)")}
   AS run_timestamp, status, jobs_found"""
@@ -471,8 +479,7 @@ add("latest_runs_per_source", lambda s, d: R.latest_runs_per_source(B.runs(s, d)
 add("source_health_card", lambda s, d: R.source_health_card(B.runs(s, d)).select(
     "source_name", "status", _iso("run_timestamp"), "jobs_found", "runs_shown", "ok_runs"),
     f"""WITH recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name
-      ORDER BY run_timestamp DESC, run_id) AS rn FROM runs) WHERE rn <= 3
-      ORDER BY run_timestamp DESC, run_id LIMIT 20)
+      ORDER BY run_timestamp DESC, run_id) AS rn FROM runs) WHERE rn <= 3)
     SELECT source_name, max(CASE WHEN rn = 1 THEN status END) AS status,
       {iso_sql("date_trunc('second', max(run_timestamp))")} AS run_timestamp,
       max(CASE WHEN rn = 1 THEN jobs_found END) AS jobs_found, count(*) AS runs_shown,
@@ -570,13 +577,15 @@ add("per_company_cap", lambda s, d: CO.cap_per_key(
     """SELECT job_id, company_normalized FROM (SELECT *, row_number() OVER (PARTITION BY
     company_normalized ORDER BY posted_at DESC, job_id) AS rn FROM postings) WHERE rn <= 5""",
     "postings")
+_UNION = {source: columns for source, columns in zip(B.SOURCES, [
+    ("title",), ("company",), ("title", "company"), ("location",), ("title", "location"), ()])}
 add("union_sources", lambda s, d: CO.union_sources({
-    "a": B.postings(s, d).where("source = 'lever'").select("job_id", "title"),
-    "b": B.postings(s, d).where("source = 'ashby'").select("job_id", "company"),
-    "c": B.postings(s, d).where("source = 'workday'").select("job_id", "title", "company")}),
-    """SELECT job_id, CASE WHEN source <> 'ashby' THEN title END AS title,
-    CASE WHEN source <> 'lever' THEN company END AS company FROM postings
-    WHERE source IN ('lever', 'ashby', 'workday')""", "postings")
+    source: B.postings(s, d).where(F.col("source") == source).select("job_id", *columns)
+    for source, columns in _UNION.items()}),
+    "SELECT job_id, " + ", ".join(
+        f"CASE WHEN source IN ({', '.join(repr(s) for s, cs in _UNION.items() if c in cs)}) "
+        f"THEN {c} END AS {c}" for c in ("title", "company", "location"))
+    + " FROM postings", "postings")
 add("union_passthrough", lambda s, d: BR.dedup_postings(BR.project_browse(scored(s, d))).agg(
     F.count(F.lit(1)).alias("n"), F.count("dupe_count").alias("keyed"),
     F.sum("dupe_count").alias("rows")),

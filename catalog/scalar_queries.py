@@ -505,7 +505,7 @@ add("hn_assign", lambda s, d: thread_jobs(_heads_df(s, d).select(
 # --- matching --------------------------------------------------------------
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return B.spread(B.table(s, d, "documents")).select("doc_id", F.lower("text").alias("t"))
+    return B.table(s, d, "documents").select("doc_id", F.lower("text").alias("t"))
 
 
 DOC_BUCKETS = {"money": ["$", "%"], "syllables": ["tion", "the "], "terms": ["license", "token"],

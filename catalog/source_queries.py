@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from rolesift.functions.normalize import iso_z
 from rolesift.functions.text import find_phrases
 from rolesift.operators.companies import company_rows
 from rolesift.operators.tables import read_snapshot
-from rolesift.session import shared_folder
+from rolesift.session import work_folder
 from rolesift.sources import archive as A
 from rolesift.sources.html_cards import anchor_cards, extract_cards
 from rolesift.sources.specs import SPECS, normalize_posting, normalize_source, sheet_jobs
@@ -29,11 +29,7 @@ OUT = ["job_id", "title", "company", "url", "location", "description", "remote",
 
 def folder(spark: SparkSession) -> str:
     """New folder for this query below the cluster's shared one."""
-    base = shared_folder(spark, "/tmp")
-    if base == "/tmp":
-        return tempfile.mkdtemp(prefix="spark-", dir=base)
-    run = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/rolesift-{run}"
+    return f"{work_folder(spark).rstrip('/')}/rolesift-{uuid.uuid4().hex}"
 
 
 def out(df: DataFrame) -> DataFrame:

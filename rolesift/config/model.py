@@ -48,6 +48,8 @@ class ScoringConfig:
     """All dictionaries and thresholds; every field can be replaced."""
 
     function_titles: list[str] = field(default_factory=function_titles)
+    #: Characters of a description in a scorer request; None sends the whole text.
+    description_limit: int | None = None
     seniority_titles: list[str] = field(default_factory=lambda: V.SENIORITY_TITLES)
     unpaid_phrases: list[str] = field(default_factory=lambda: V.UNPAID_PHRASES)
     leadership_exceptions: list[str] = field(default_factory=lambda: V.LEADERSHIP_EXCEPTIONS)

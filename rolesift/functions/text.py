@@ -131,9 +131,16 @@ def find_phrases(text: Column, phrases: Iterable[str]) -> Column:
     return F.coalesce(longest, F.array().cast("array<string>"))
 
 
+def distinct_phrases(phrases: Sequence[str]) -> list[str]:
+    """Each phrase once, in order. An empty phrase would be in every text and is refused."""
+    if "" in phrases:
+        raise ValueError("an empty phrase matches every text")
+    return list(dict.fromkeys(phrases))
+
+
 def any_of(text: Column | Found, phrases: Sequence[str]) -> Column:
     """True when any phrase is a substring; NULL text counts as no match."""
-    phrases = list(dict.fromkeys(phrases))
+    phrases = distinct_phrases(phrases)
     if not phrases:
         return F.lit(False)
     if isinstance(text, Found):
@@ -147,7 +154,7 @@ def any_of(text: Column | Found, phrases: Sequence[str]) -> Column:
 
 def count_of(text: Column | Found, phrases: Sequence[str]) -> Column:
     """Number of distinct phrases present, each counted once."""
-    phrases = list(dict.fromkeys(phrases))
+    phrases = distinct_phrases(phrases)
     if not phrases:
         return F.lit(0)
     if not isinstance(text, Found) and len(phrases) <= INLINE_LIMIT:
@@ -184,6 +191,7 @@ def first_value(text: Column | Found, steps: Sequence[tuple[Sequence[str], float
 
 def first_phrase(text: Column | Found, phrases: Sequence[str]) -> Column:
     """First phrase of the list found in the text, NULL when none."""
+    phrases = distinct_phrases(phrases)
     if not phrases:
         return F.lit(None).cast("string")
     if isinstance(text, Found):

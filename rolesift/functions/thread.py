@@ -20,9 +20,15 @@ ROLE_WORDS = [
 ]
 # Fixed value: whole words strong enough to put the title first.
 STRONG_ROLE = (
-    r"\b(?:engineers?|developers?|architects?|managers?|directors?|head\s+of|vp\s+of|vp"
-    r"|vice\s+president|leads?|principal|staff|senior|junior|founders?|co[\-\s]?founder"
-    r"|cofounder|founding|officer|chief|ceo|cto|cfo|coo|cmo|scientists?|researchers?)\b")
+    r"\b(?:"
+    r"engineer|engineers|developer|developers|architect|architects"
+    r"|manager|managers|director|directors"
+    r"|head\s+of|vp\s+of|vp|vice\s+president"
+    r"|lead|leads|principal|staff|senior|junior"
+    r"|founder|founders|co[\-\s]?founder|cofounder|founding"
+    r"|officer|chief|ceo|cto|cfo|coo|cmo"
+    r"|scientist|scientists|researcher|researchers"
+    r")\b")
 # Place and remote words.
 PLACE_WORDS = [
     "remote", "onsite", "on-site", "hybrid", "anywhere", "us only", "us-only", "europe",
@@ -99,13 +105,13 @@ def assign(text: Column, parts: Column) -> Column:
     the first title-like segment after it is the title.
     """
     first = F.get(parts, 0)
-    rest = F.slice(parts, 2, 1_000_000)
+    rest = F.slice(parts, 2, F.size(parts))
     title_first = (F.size(parts) >= 2) & is_strong_title(first)
     employer = F.coalesce(company_from_host(text), F.get(F.filter(rest, is_company), 0))
     title = F.when(title_first, first).otherwise(F.get(F.filter(rest, is_title), 0))
     company = F.when(title_first, employer).otherwise(first)
     ok = (F.length(company) <= 80) & (F.length(title) <= 200) & (company != "")
-    place = F.get(F.filter(F.slice(parts, 3, 1_000_000),
+    place = F.get(F.filter(F.slice(parts, 3, F.size(parts)),
                            lambda s: any_of(F.lower(s), LOCATION_TOKENS)), 0)
     return F.struct(F.when(ok, title).alias("title"), F.when(ok, company).alias("company"),
                     place.alias("location"))

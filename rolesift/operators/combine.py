@@ -32,7 +32,8 @@ def salted_left_join(big: DataFrame, dim: DataFrame, key: str, salts: int = 32)
     Rows of ``big`` spread over ``salts`` slices of their key and the dimension is repeated
     per slice, so the result is exactly that of a plain left join.
     """
-    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    row = F.xxhash64(F.to_json(F.struct(*big.columns)))  # the same salt on every attempt
+    salted = big.withColumn("_salt", F.pmod(row, F.lit(salts)))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) \
         .withColumn("_salt", F.col("_salt").cast("bigint"))
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")

@@ -39,12 +39,12 @@ def facts_from_table(df: DataFrame, companies: DataFrame, key: str = "company_ke
     its size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both
     sides, with adaptive skew splitting for a company that owns much of the postings.
     """
-    dim = companies.select(
-        F.col("company_name_normalized").alias(key),
-        F.col("industry").alias("map_industry"),
-        F.col("equality").alias("is_equality_co"),
-        F.col("crunch").alias("is_crunch_listed"),
-        F.col("crunch_reduced").alias("is_crunch_reduced"))
+    # One row per company: a repeated company must not multiply its postings.
+    dim = companies.groupBy(F.col("company_name_normalized").alias(key)).agg(
+        F.max("industry").alias("map_industry"),
+        F.max("equality").alias("is_equality_co"),
+        F.max("crunch").alias("is_crunch_listed"),
+        F.max("crunch_reduced").alias("is_crunch_reduced"))
     joined = df.join(dim, key, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in FACTS[1:]})
 

@@ -208,49 +208,41 @@ def write_audit_csv(df: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------------------
 
 RUN_TTL_DAYS = 30
-ERROR_TEXT_LIMIT = 8000
-# Messages needed at most to fill that limit: each adds one character and a separator.
-ERRORS_KEPT = ERROR_TEXT_LIMIT // 4 + 1
-ERROR_SLICES = 64
+
+
+def run_errors(items: DataFrame) -> DataFrame:
+    """Every error text with its run and item: the table behind the ledger's counts."""
+    return items.where(F.col("error").isNotNull()).select(
+        "source_name", "run_timestamp", "item_no", "error")
 
 
 def run_summary(items: DataFrame) -> DataFrame:
     """Ledger row per (source_name, run_timestamp) from item outcomes.
 
     ``items``: source_name, run_timestamp, item_no, existed (NULL when the item was skipped
-    or failed), error, duration_ms, fatal. Counts combine before the shuffle. Error texts
-    are ordered by item and the joined text is cut to its storage limit; only the first
-    messages that can reach that limit are gathered per run.
+    or failed), error, duration_ms, fatal. One aggregate that combines before the shuffle;
+    ``error_message`` is the first item's, ``run_errors`` has all of them.
     """
-    key = ["source_name", "run_timestamp"]
-    counts = items.groupBy(*key).agg(
+    failed = F.col("error").isNotNull()
+    first = F.min(F.when(failed, F.struct("item_no", "error")))["error"]
+    counts = items.groupBy("source_name", "run_timestamp").agg(
         F.count(F.lit(1)).alias("jobs_found"),
         F.count_if(~F.col("existed")).alias("jobs_new"),
         F.count_if("existed").alias("jobs_updated"),
         F.count("error").alias("n_errors"), F.max("duration_ms").alias("duration_ms"),
-        F.bool_or(F.coalesce("fatal", F.lit(False))).alias("fatal"))
-    # A run that fails on every item is cut per slice first, so no task sorts it whole.
-    per_slice = W.partitionBy(*key, "_slice").orderBy("item_no")
-    per_run = W.partitionBy(*key).orderBy("item_no")
-    texts = (items.where(F.col("error").isNotNull()).select(*key, "item_no", "error")
-             .withColumn("_slice", F.pmod(F.xxhash64("item_no"), F.lit(ERROR_SLICES)))
-             .withColumn("_rn", F.row_number().over(per_slice))
-             .where(F.col("_rn") <= ERRORS_KEPT)
-             .withColumn("_rn", F.row_number().over(per_run))
-             .where(F.col("_rn") <= ERRORS_KEPT))
-    joined = texts.groupBy(*key).agg(F.substring(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("item_no", "error"))), lambda e: e["error"]),
-        " | "), 1, ERROR_TEXT_LIMIT).alias("error_message"))
+        F.bool_or(F.coalesce("fatal", F.lit(False))).alias("fatal"),
+        first.alias("error_message"))
     status = F.when(F.col("fatal"), "error").when(F.col("n_errors") > 0, "partial") \
         .otherwise("ok")
     ttl = F.unix_timestamp("run_timestamp") + F.lit(RUN_TTL_DAYS * 86_400)
-    return counts.join(joined, key, "left").select(
-        *key, status.alias("status"), "jobs_found", "jobs_new", "jobs_updated",
-        "duration_ms", ttl.alias("expires_at"), "error_message")
+    return counts.select(
+        "source_name", "run_timestamp", status.alias("status"), "jobs_found", "jobs_new",
+        "jobs_updated", "duration_ms", ttl.alias("expires_at"), "n_errors", "error_message")
 
 
-def latest_runs_per_source(runs: DataFrame, per_source: int = 3, overall: int = 20) -> DataFrame:
-    """Newest runs of each source, then the newest overall.
+def latest_runs_per_source(runs: DataFrame, per_source: int = 3, overall: int | None = 20
+                           ) -> DataFrame:
+    """Newest runs of each source, then the newest overall (all of them for None).
 
     The rank limit is applied inside each task before the shuffle, so a source with most
     of the runs sends only ``per_source`` rows per task.
@@ -258,12 +250,14 @@ def latest_runs_per_source(runs: DataFrame, per_source: int = 3, overall: int =
     w = W.partitionBy("source_name").orderBy(F.col("run_timestamp").desc(),
                                              F.col("run_id").asc())
     ranked = runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_source)
+    if overall is None:
+        return ranked.drop("_rn")
     return ranked.drop("_rn").orderBy(F.col("run_timestamp").desc(), "run_id").limit(overall)
 
 
 def source_health_card(runs: DataFrame, prior: int = 3) -> DataFrame:
-    """Latest status and counts per source, with how many of the recent runs were ok."""
-    recent = latest_runs_per_source(runs, per_source=prior, overall=20)
+    """Latest status and counts of every source, with how many of its recent runs were ok."""
+    recent = latest_runs_per_source(runs, per_source=prior, overall=None)
     order = F.struct(F.col("run_timestamp"), (-F.col("run_id")).alias("k"))
     return recent.groupBy("source_name").agg(
         F.max_by("status", order).alias("status"),

@@ -13,6 +13,7 @@ from rolesift.config.model import ScoringConfig
 from rolesift.functions.normalize import iso_z, score_posted
 from rolesift.operators.verdicts import score_combined
 
+# Column names of the stored table.
 USER_STATE = ("status", "user_notes")
 VERDICT_CARRY = ("semantic_score", "semantic_rationale", "semantic_scored_at",
                  "semantic_model", "work_mode")
@@ -60,9 +61,13 @@ def save_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = ("st
 # ---------------------------------------------------------------------------
 
 def newest_by_key(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key, the one with the greatest order value; combines before shuffling."""
+    """One row per key, the one with the greatest order value; combines before shuffling.
+
+    Equal order values are settled by a hash of the row, so a repeated run picks the same one.
+    """
     row = F.struct(*[F.col(c) for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.max_by(row, order).alias("_row")).select(key, "_row.*")
+    rank = F.struct(order.alias("o"), F.xxhash64(F.to_json(row)).alias("h"))
+    return df.groupBy(key).agg(F.max_by(row, rank).alias("_row")).select(key, "_row.*")
 
 
 def upsert_postings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def prefs_put(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Whole-value overwrite per (user_id, config_key), newest update wins."""
     rows = existing.unionByName(updates)
     return rows.groupBy("user_id", "config_key").agg(
-        F.max_by("value", "updated_at").alias("value"),
+        F.max_by("value", F.struct("updated_at", "value")).alias("value"),
         F.max("updated_at").alias("updated_at"))
 
 
@@ -245,9 +250,10 @@ def prefs_map(prefs: DataFrame) -> DataFrame:
 
 
 def upsert_rows(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Idempotent overwrite by primary key: update rows replace stored ones."""
+    """Idempotent overwrite by primary key: update rows, one per key, replace stored ones."""
     kept = existing.join(updates.select(key), key, "left_anti")
-    return kept.unionByName(updates, allowMissingColumns=True)
+    single = newest_by_key(updates, key, F.lit(0)).select(*updates.columns)
+    return kept.unionByName(single, allowMissingColumns=True)
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:

@@ -30,7 +30,6 @@ VERDICT_FIELDS = ["semantic_score", "semantic_rationale", "semantic_scored_at",
                   "semantic_model", "verdict_work_mode", "role_family_match",
                   "industry_match", "geography_match", "level_match", "watchlist_dream",
                   "life_fit_concerns"]
-DESCRIPTION_LIMIT = 3000
 TRUNCATION_NOTE = "\n\n[…description truncated…]"
 REPLY_SHAPE = (
     'Reply with JSON only, all nine fields: {"score": <int 0-100>, '
@@ -75,12 +74,10 @@ def coerce_bool_json(raw: Column) -> Column:
                       .when(number.isNotNull(), number != 0), F.lit(False))
 
 
-def coerce_str_list(items: Column, limit: int = 8, length: int = 120) -> Column:
-    """At most ``limit`` entries read, blanks dropped, each cut to ``length``."""
-    kept = F.filter(F.transform(F.slice(items, 1, limit), strip),
-                    lambda s: s.isNotNull() & (s != ""))
-    return F.coalesce(F.transform(kept, lambda s: F.substring(s, 1, length)),
-                      F.array().cast("array<string>"))
+def coerce_str_list(items: Column) -> Column:
+    """All entries, stripped, blanks dropped. Views shorten them, storage does not."""
+    kept = F.filter(F.transform(items, strip), lambda s: s.isNotNull() & (s != ""))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 # ---------------------------------------------------------------------------
@@ -167,7 +164,7 @@ def _typed(df: DataFrame) -> DataFrame:
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("_score")))
     typed = read.withColumns({
         "semantic_score": score.cast("int"),
-        "semantic_rationale": F.substring(strip(text_or_empty(F.col("_rationale"))), 1, 240),
+        "semantic_rationale": strip(text_or_empty(F.col("_rationale"))),
         "verdict_work_mode": normalize_work_mode(F.col("_work_mode")),
         "watchlist_dream": coerce_bool_json(F.col("_dream")),
         "life_fit_concerns": coerce_str_list(F.col("_concerns")),
@@ -232,12 +229,14 @@ def replay(df: DataFrame) -> DataFrame:
 
 
 def fresh_verdicts(verdicts: DataFrame, as_of: Column, cfg: ScoringConfig) -> DataFrame:
-    """One fresh verdict per posting, the newest. Aggregation combines before the shuffle."""
+    """One fresh verdict per posting, the newest; equal times are settled by content.
+    Aggregation combines before the shuffle."""
     fresh = verdicts.where(is_fresh(F.col("semantic_scored_at"), F.col("semantic_score"),
                                     as_of, cfg))
     filled = replay(fresh)
     row = F.struct(*[F.col(c) for c in VERDICT_FIELDS])
-    best = filled.groupBy("job_id").agg(F.max_by(row, "semantic_scored_at").alias("_v"))
+    best = filled.groupBy("job_id").agg(F.max_by(
+        row, F.struct("semantic_scored_at", F.xxhash64(F.to_json(row)))).alias("_v"))
     return best.select("job_id", "_v.*")
 
 
@@ -264,9 +263,9 @@ def context_block() -> Column:
         F.lit("--- End pre-filter ---"))
 
 
-def message() -> Column:
-    """Request text of a prefiltered posting; the description excerpt is part of the
-    request format."""
+def message(limit: int | None = None) -> Column:
+    """Request text of a prefiltered posting, with the whole description or, where the
+    scorer's window needs it, its first ``limit`` characters."""
     def stripped(name: str) -> Column:
         return strip(text_or_empty(F.col(name)))
 
@@ -275,8 +274,8 @@ def message() -> Column:
         return F.coalesce(F.concat(F.lit("$"), F.format_number(amount, 0)), F.lit("?"))
 
     desc = stripped("description")
-    excerpt = F.when(F.length(desc) > DESCRIPTION_LIMIT,
-                     F.concat(F.substring(desc, 1, DESCRIPTION_LIMIT), F.lit(TRUNCATION_NOTE)))\
+    excerpt = desc if limit is None else F.when(
+        F.length(desc) > limit, F.concat(F.substring(desc, 1, limit), F.lit(TRUNCATION_NOTE))) \
         .otherwise(desc)
     paid = (F.coalesce(F.col("salary_min"), F.lit(0)) != 0) \
         | (F.coalesce(F.col("salary_max"), F.lit(0)) != 0)
@@ -300,7 +299,7 @@ def requests(prefiltered: DataFrame, verdicts: DataFrame, as_of: Column, cfg: Sc
         known = verdicts.where(is_fresh(F.col("semantic_scored_at"), F.col("semantic_score"),
                                         as_of, cfg)).select("job_id")
         todo = todo.join(known, "job_id", "left_anti")
-    return todo.select("job_id", message().alias("message"))
+    return todo.select("job_id", message(cfg.description_limit).alias("message"))
 
 
 def derive_tier(passed: Column, available: Column, score: Column, dream_flag: Column,

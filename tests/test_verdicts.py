@@ -34,7 +34,9 @@ def test_reply_forms(spark):
         assert got[i]["geography_match"] == "unreachable"
         assert got[i]["watchlist_dream"] is True
     assert got[0]["semantic_rationale"] == "fine"
-    assert got[0]["life_fit_concerns"] == ["a", "b" * 120]
+    assert got[0]["life_fit_concerns"][0] == "a"
+    assert set(got[0]["life_fit_concerns"][1]) == {"b"}
+    assert len(got[0]["life_fit_concerns"][1]) > 120
     assert got[3]["life_fit_concerns"] == ["a", "Progra"]
     assert [got[i]["semantic_score"] for i in (9, 10, 11, 12)] == [1, 100, 2, 0]
     assert got[13]["life_fit_concerns"] == ["one phrase"]
@@ -101,9 +103,14 @@ def test_requests_leave_out_fresh_and_failed(spark):
     assert V.requests(df, v, F.lit(AS_OF), CFG, force=True).count() == 2
 
 
-def test_request_text_keeps_the_format_limit(spark):
+def test_request_text_is_whole_unless_limited(spark):
+    from dataclasses import replace
     from rolesift.operators.prefilter import prefilter
     df = jobs(spark, ("1", "VP", "acme")).withColumn("description", F.repeat(F.lit("x"), F.lit(
         5000)))
-    text = V.requests(prefilter(df, CFG), verdict_rows(spark), F.lit(AS_OF), CFG).first()["message"]
-    assert "x" * 3000 + V.TRUNCATION_NOTE in text and "x" * 3001 not in text
+    for limit, n in ((None, 5000), (3000, 3000)):
+        cfg = replace(CFG, description_limit=limit)
+        text = V.requests(prefilter(df, cfg), verdict_rows(spark), F.lit(AS_OF), cfg) \
+            .first()["message"]
+        assert "x" * n in text and "x" * (n + 1) not in text
+        assert (V.TRUNCATION_NOTE in text) == (limit is not None)
