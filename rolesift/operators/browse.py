@@ -177,27 +177,25 @@ def dedup_postings(df: DataFrame) -> DataFrame:
     key, and both combine before their shuffle, so a posting copied a billion times costs a
     handful of rows per task instead of one oversized group.
     """
-    keyed = df.withColumns({
-        "_ck": F.lower(F.trim(text_or_empty(F.col("company_normalized")))),
-        "_tk": normalize_title(F.col("title")),
-    })
-    usable = (F.col("_ck") != "") & (F.col("_tk") != "")
+    company = F.lower(F.trim(text_or_empty(F.col("company_normalized"))))
+    keyed = df.withColumns({"_ck": company, "_tk": normalize_title(F.col("title"))})
+    # A row without a usable key is a group of its own, so one branch reads the input once.
+    keyed = keyed.withColumn("_own", F.when((F.col("_ck") == "") | (F.col("_tk") == ""),
+                                            F.col("job_id")))
     rank = F.struct((-F.coalesce("score", F.lit(0))).alias("a"), F.col("job_id").alias("b"))
     row = F.struct(*[F.col(c) for c in df.columns])
-    per_source = (keyed.where(usable).groupBy("_ck", "_tk", "source").agg(
+    per_source = keyed.groupBy("_ck", "_tk", "_own", "source").agg(
         F.count(F.lit(1)).alias("_n"), F.min("job_id").alias("_first"),
-        F.min_by(row, rank).alias("_row"), F.min(rank).alias("_rank")))
+        F.min_by(row, rank).alias("_row"), F.min(rank).alias("_rank"))
     seen = F.sort_array(F.collect_list(F.when(
         F.nullif("source", F.lit("")).isNotNull(),
         F.struct(F.col("_first").alias("f"), F.col("source").alias("s")))))
-    merged = (per_source.groupBy("_ck", "_tk").agg(
-        F.sum("_n").alias("dupe_count"), F.min_by("_row", "_rank").alias("_row"),
-        F.transform(seen, lambda e: e["s"]).alias("dupe_sources"))
-        .select("_row.*", "dupe_count", "dupe_sources"))
-    passthrough = keyed.where(~usable).drop("_ck", "_tk").withColumns({
-        "dupe_count": F.lit(None).cast("bigint"),
-        "dupe_sources": F.lit(None).cast("array<string>")})
-    return merged.unionByName(passthrough)
+    shared = F.col("_own").isNull()
+    return per_source.groupBy("_ck", "_tk", "_own").agg(
+        F.sum("_n").alias("_n"), F.min_by("_row", "_rank").alias("_row"),
+        F.transform(seen, lambda e: e["s"]).alias("_sources")).select(
+            "_row.*", F.when(shared, F.col("_n")).alias("dupe_count"),
+            F.when(shared, F.col("_sources")).alias("dupe_sources"))
 
 
 # ---------------------------------------------------------------------------
