@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rolesift.llm.common import bare, lengths, slices
-from rolesift.llm.tokens import CACHE_ENTRIES, pieces, tokenizer
+from rolesift.llm.tokens import PieceCache, pieces, tokenizer
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_chars long"
 VOCABULARY = "word_bpe_49k.json"
@@ -33,7 +33,7 @@ class WordCounter:
 
     def __init__(self, name: str = VOCABULARY):
         self.library = tokenizer(name)
-        self.cache: dict[str, int] = {}
+        self.cache = PieceCache(self._learn)
         self._table: MergeTable | None = None
 
     @property
@@ -42,17 +42,13 @@ class WordCounter:
             self._table = MergeTable(self.library)
         return self._table
 
-    def learn(self, cut: list[list[str]]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = list({p for parts in cut for p in parts if p not in self.cache})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[p] = len(e)
+    def _learn(self, new: list[str]) -> zip:
+        encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
+        return zip(new, map(len, encoded))
 
     def prefixes(self, texts: list[str | None]) -> list["PrefixCounts"]:
         cut = [pieces(t) if t else [] for t in texts]
-        self.learn(cut)
-        get = self.cache.__getitem__
+        get = self.cache.fill(cut)
         return [PrefixCounts(self, parts, np.cumsum(
             np.fromiter(map(get, parts), np.int64, len(parts)))) for parts in cut]
 

@@ -192,8 +192,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for blob in batch.column(1):
                 s = Shard(blob.as_py())
-                crc = [zlib.crc32(s.document(i).astype("<u4").tobytes())
-                       for i in range(len(s.doc_ids))]
+                data = memoryview(s.codes.range(0, s.tokens).astype("<u4").tobytes())
+                ends = (4 * s.bounds).tolist()
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s.part] * n, pa.int64()), pa.array([s.seq] * n, pa.int64()),

@@ -13,10 +13,12 @@ import re
 
 import numpy as np
 
-#: A space that is not alone: at an end of the text or beside other white space.
-UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
 ALONE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 250_000
+#: Other white space that could stand beside a space.
+EXOTIC = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Pieces in each of the two generations of a cache.
+CACHE_ENTRIES = 600_000
 
 _loaded: dict[str, "object"] = {}
 
@@ -33,9 +35,38 @@ def tokenizer(name: str):
     return _loaded[name]
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at every lone space; the spaces themselves are left out."""
-    return ALONE.split(text) if UNEVEN.search(text) else text.split(" ")
+def pieces(text: str, lines: bool = False) -> list[str]:
+    """The text cut at every lone space; the spaces themselves are left out. With ``lines`` it
+    is also cut before lone line feeds, which stay at the head of their pieces."""
+    uneven = text[0] == " " or text[-1] == " " or "  " in text or " \n" in text \
+        or "\n " in text or any(c in text for c in EXOTIC)
+    if uneven:
+        return ALONE.split(text)
+    if lines and "\n" in text and "\n\n" not in text and text[0] != "\n" != text[-1]:
+        text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
+class PieceCache:
+    """Results by piece. What the newer generation lacks is first looked for in the older one;
+    when the newer is full it becomes the older, so pieces in steady use stay."""
+
+    def __init__(self, learn):
+        self.learn, self.now, self.older = learn, {}, {}
+
+    def fill(self, cut: list[list[str]]):
+        """The getter of a table that has every piece of ``cut``."""
+        if len(self.now) > CACHE_ENTRIES:
+            self.now, self.older = {}, self.now
+        now, older = self.now, self.older
+        new = set().union(*cut).difference(now)
+        if older:
+            again = [p for p in new if p in older]
+            now.update((p, older[p]) for p in again)
+            new.difference_update(again)
+        if new:
+            now.update(self.learn(list(new)))
+        return now.__getitem__
 
 
 class SpacedIds:
@@ -46,48 +77,42 @@ class SpacedIds:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            self.starts[i] = token.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
+            self.starts[i] = token.startswith(("Ġ", "Ċ"))
+        self.cache = PieceCache(self._learn)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        cut = [pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        new = {p for parts in cut for p in parts[1:] if p not in cache}
-        self._learn([p for p in new if not ALONE_UNSAFE.search(p)], joined=True)
-        self._learn([p for p in new if ALONE_UNSAFE.search(p)], joined=False)
-        heads = self.library.encode_batch_fast([parts[0] for parts in cut if parts],
-                                               add_special_tokens=False)
-        head = iter(heads)
-        get = cache.__getitem__
-        return [as_bytes(next(head).ids) + b"".join(map(get, parts[1:])) if parts else b""
-                for parts in cut]
-
-    def _learn(self, new: list[str], joined: bool, run: int = 512) -> None:
-        """Encode unseen pieces. Pieces without spaces are encoded many at a time: a token
-        that starts with a space then always starts a piece."""
-        if not joined:
-            for p, e in zip(new, self.library.encode_batch_fast(
-                    [" " + p for p in new], add_special_tokens=False)):
-                self.cache[p] = as_bytes(e.ids)
-            return
-        groups = [new[i:i + run] for i in range(0, len(new), run)]
-        encoded = self.library.encode_batch_fast(
-            [" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded):
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(self.starts[ids]).tolist()
-            if len(at) != len(group):
-                raise ValueError("vocabulary does not keep a space with the word after it")
-            data = ids.tobytes()
-            for p, a, b in zip(group, at, [*at[1:], len(ids)]):
-                self.cache[p] = data[4 * a:4 * b]
-
-
-#: Pieces that must be encoded alone: inner spaces or special strings.
-ALONE_UNSAFE = re.compile(r" |<\|")
+        cut = [pieces(t, lines=True) if t else [] for t in texts]
+        heads = iter(self.library.encode_batch_fast([parts[0] for parts in cut if parts],
+                                                    add_special_tokens=False))
+        rest = [parts[1:] for parts in cut]
+        get = self.cache.fill(rest)
+        return [as_bytes(next(heads).ids) + b"".join(map(get, tail)) if parts else b""
+                for parts, tail in zip(cut, rest)]
+
+    def _learn(self, new: list[str], run: int = 512) -> dict[str, bytes]:
+        """Encode unseen pieces; a piece follows a space unless it starts with a line feed.
+        Pieces without inner white space or special strings are encoded many at a time: a token
+        that starts with a space or line feed then always starts a piece."""
+        out: dict[str, bytes] = {}
+        lines = [p for p in new if p[0] == "\n"]
+        words = [p for p in new if p[0] != "\n"] if lines else new
+        for family, lead in ((words, " "), (lines, "")):
+            groups = [family[i:i + run] for i in range(0, len(family), run)]
+            joined = [lead + lead.join(g) for g in groups]
+            for group, text, e in zip(groups, joined, self.library.encode_batch_fast(
+                    joined, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = (4 * np.flatnonzero(self.starts[ids])).tolist()
+                if text.count(" ") + text.count("\n") > len(group) or "<|" in text:
+                    out.update(zip(group, (as_bytes(x.ids) for x in self.library.encode_batch_fast(
+                        [lead + p for p in group], add_special_tokens=False))))
+                elif len(at) != len(group):
+                    raise ValueError("vocabulary does not keep a space with the word after it")
+                else:
+                    out.update(zip(group, map(ids.tobytes().__getitem__,
+                                              map(slice, at, [*at[1:], 4 * len(ids)]))))
+        return out
 
 
 def as_bytes(ids: list[int]) -> bytes:
