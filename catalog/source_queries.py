@@ -11,6 +11,7 @@ from rolesift.functions.normalize import iso_z
 from rolesift.functions.text import find_phrases
 from rolesift.operators.companies import company_rows
 from rolesift.operators.tables import read_snapshot
+from rolesift.operators.combine import broadcast_if_small
 from rolesift.session import work_folder
 from rolesift.sources import archive as A
 from rolesift.sources.html_cards import anchor_cards, extract_cards
@@ -321,7 +322,7 @@ def _dictionary_counts(s: SparkSession, d: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "title", "description"))
     hits = B.postings(s, d).select("job_id", F.explode(find_phrases(text, known))
                                    .alias("phrase"))
-    return hits.join(words, "phrase").groupBy("kind", "bucket").agg(
+    return hits.join(broadcast_if_small(words), "phrase").groupBy("kind", "bucket").agg(
         F.countDistinct("job_id").alias("postings"))
 
 

@@ -39,6 +39,11 @@ def salted_left_join(big: DataFrame, dim: DataFrame, key: str, salts: int = 32)
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``rows`` rows, which is counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str,
                    max_words: int) -> DataFrame:
     """(id, kind, bucket, phrase) for word-bounded dictionaries that live in a table.
@@ -58,7 +63,9 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text_col:
         F.lower(F.col(text_col)), F.lit(r"\w+"), 0).alias("_words"))
     exploded = split.select(id_col, F.explode(grams).alias("phrase"))
     wanted = phrases.select("kind", "bucket", "phrase").distinct()
-    return exploded.join(wanted, "phrase").select(id_col, "kind", "bucket", "phrase")
+    # Frequent phrases are hot keys: a small dictionary goes to the texts instead.
+    return exploded.join(broadcast_if_small(wanted), "phrase").select(
+        id_col, "kind", "bucket", "phrase")
 
 
 def union_sources(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -9,11 +9,16 @@ RAW_SCHEMA = "run_ts timestamp, payload string, source string, y int, m int, d i
 LIST_PATHS = ("jobs", "data", "results", "content")
 
 
-def write_raw(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Gzip JSON lines per source and date from (source, run_ts, payload)."""
+def write_raw(df: DataFrame, root: str, mode: str = "append", files: int = 4) -> None:
+    """Gzip JSON lines per source and date from (source, run_ts, payload).
+
+    Rows are clustered by directory first, each spread over ``files`` buckets of the payload's
+    hash, so a directory gets that many files at most and a hot one is no single task.
+    """
     dated = df.select("source", "run_ts", "payload", F.year("run_ts").alias("y"),
                       F.month("run_ts").alias("m"), F.day("run_ts").alias("d"))
-    dated.write.mode(mode).partitionBy("source", "y", "m", "d") \
+    bucket = F.pmod(F.xxhash64("payload"), F.lit(files))
+    dated.repartition("source", "y", "m", "d", bucket).write.mode(mode).partitionBy("source", "y", "m", "d") \
         .option("compression", "gzip").json(root)
 
 
@@ -63,15 +68,15 @@ def _nested(ddl: str) -> str:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with a stable row reference (file and offset order) per row.
+    """Header CSV with a row reference that is the same on every reading.
 
-    ``row_ref`` is built from Spark's monotonically increasing id, which follows file
-    order, so no global sort or single-task numbering is needed.
+    ``row_ref`` is a hash of the row's cells: it depends neither on how files are packed into
+    tasks nor on rows before it, so re-reading a sheet finds the same postings again.
     """
     rows = spark.read.option("header", True).option("encoding", "UTF-8") \
         .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     clean = rows.toDF(*[c.replace("﻿", "").strip().lower() for c in rows.columns])
-    return clean.withColumn("row_ref", F.monotonically_increasing_id())
+    return clean.withColumn("row_ref", F.hex(F.xxhash64(*clean.columns)))
 
 
 def explode_thread(stories: DataFrame) -> DataFrame:

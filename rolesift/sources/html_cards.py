@@ -106,7 +106,13 @@ def _matches(node: _Node, pick: Pick) -> bool:
 
 
 def _holds_block(node: _Node) -> bool:
-    return any(c.tag in BLOCKS or _holds_block(c) for c in node.children)
+    left = list(node.children)
+    while left:  # a stack of its own: pages nest deeper than Python calls may
+        child = left.pop()
+        if child.tag in BLOCKS:
+            return True
+        left += child.children
+    return False
 
 
 def _below(node: _Node, root: _Node) -> bool:
