@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -651,6 +653,10 @@ add("bulk_summary", lambda s, d: TB.bulk_summary(B.postings(s, d), _wanted(s, d)
     count(*) - count(p.job_id) AS missing FROM wanted w LEFT JOIN postings p
     ON w.job_id = p.job_id""", "postings")
 add("shard", lambda s, d: TB.shard(B.postings(s, d), 2, 8).select("job_id"))
+add("shard_union", lambda s, d: reduce(lambda a, b: a.unionByName(b), [
+    TB.shard(B.postings(s, d), i, 4).select("job_id") for i in range(4)]).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n")),
+    "SELECT job_id, count(*) AS n FROM postings GROUP BY job_id", "postings")
 add("resume_tail", lambda s, d: B.verdicts(s, d).where(BR.not_fresh(
     "semantic_scored_at", B.as_of() - F.make_dt_interval(hours=F.lit(24 * 90)))).select(
     "job_id"),

@@ -249,4 +249,33 @@ add("score_band", lambda s, d: B.verdicts(s, d).select(
     CASE WHEN semantic_score >= 90 THEN 's-purple' WHEN semantic_score >= 78 THEN 's-green'
     WHEN semantic_score >= 65 THEN 's-yellow' WHEN semantic_score >= 50 THEN 's-orange'
     ELSE 's-gray' END AS colour FROM verdicts""", "verdicts")
-add("facet_labels", lambda s, d: C.facet_labels(s, CFG, B.companies(s, d)))
+
+
+def _facet_sql() -> str:
+    def named(key: str) -> str:
+        return " ".join(w.capitalize() for w in key.split("_"))
+
+    rows = [("industries", k, r.get("label") or named(k), i)
+            for i, (k, r) in enumerate(CFG.industries.items())]
+    rows += [("role_types", k, r.get("label") or named(k), i)
+             for i, (k, r) in enumerate(CFG.role_types.items())]
+    rows += [("company_groups", k, named(k), i + 3) for i, k in enumerate(CFG.company_groups)]
+    rows += [("engagement_types", k, label, i)
+             for i, (k, label) in enumerate(V.ENGAGEMENT_LABELS.items())]
+    fixed = ", ".join(f"({q(f)}, {q(v)}, {q(label)}, {i})" for f, v, label, i in rows)
+    return f"""SELECT * FROM (VALUES {fixed},
+      ('work_modes', 'remote', 'Remote', 0), ('work_modes', 'hybrid', 'Hybrid', 1),
+      ('work_modes', 'onsite', 'Onsite', 2), ('work_modes', 'unclear', 'Unclear', 3),
+      ('sort_options', 'score', 'Best match', 0), ('sort_options', 'qol', 'Quality of life', 1),
+      ('sort_options', 'comp', 'Compensation', 2), ('sort_options', 'newest', 'Newest', 3),
+      ('sort_options', 'oldest', 'Oldest', 4), ('sort_options', 'company_asc', 'Company (A–Z)', 5),
+      ('sort_options', 'company_desc', 'Company (Z–A)', 6), ('statuses', 'active', 'Active', 0),
+      ('statuses', 'saved', 'Saved', 1), ('statuses', 'applied', 'Applied', 2),
+      ('statuses', 'archived', 'Archived', 3)) AS f(facet, value, label, ord)
+    UNION ALL SELECT DISTINCT 'company_groups', 'tier_' || lower(trim(tier)),
+      'Tier ' || upper(trim(tier)), CASE upper(trim(tier)) WHEN 'S' THEN 0 WHEN '1' THEN 1
+      ELSE 2 END FROM companies WHERE upper(trim(tier)) IN ('S', '1', '2')"""
+
+
+add("facet_labels", lambda s, d: C.facet_labels(s, CFG, B.companies(s, d)), _facet_sql(),
+    "companies")
