@@ -38,7 +38,7 @@ class Packing:
     vocabulary: str = "byte_bpe_50k.json"
     end_id: int = 0
     #: Rows of one class that are ranked together.
-    bucket_rows: int = 50_000
+    bucket_rows: int = 2_000
 
 
 def cut_pieces(docs: DataFrame, rule: Packing = Packing(), id_col: str = "doc_id",
