@@ -2,15 +2,16 @@
 
 1. Every document becomes its set of n-gram hashes. Equal sets are one class, represented by
    the smallest id.
-2. Sets are ordered by (level of corpus frequency, hash); two sets whose Jaccard similarity
-   reaches the limit share an element of their prefixes, the first ``n - ceil(limit n) + 1``
-   elements. Frequencies only shape this order, never the result.
+2. Sets are ordered by (level of corpus frequency, hash). Two sets whose Jaccard similarity
+   reaches the limit share ``k`` elements of their prefixes, the first ``n - ceil(limit n) + k``
+   elements, for any k up to the overlap they need. Frequencies only shape this order, never
+   the result.
 3. Classes with the same size and prefix form a group. Groups meet on prefix elements that more
    than one class has; size and position filters drop groups that cannot reach the limit.
 4. Links are verified on whole sets in two rounds. First each class is compared with one hub,
    the group that leads most of its lists, and members with their group's pivot; this joins
    families of copies by as many comparisons as they have members. Then every pair of members
-   that shares a prefix element, passes the filters and lies in different components is
+   that shares k prefix elements, passes the filters and lies in different components is
    verified. Pairs within a component cannot change it and are not formed.
 5. Components of all verified links are found by alternating star contraction.
 
@@ -37,6 +38,8 @@ LAST_ID = 2**63 - 1
 class Rule:
     n: int = 4
     percent: int = 85
+    #: Prefix elements that a pair must share (fewer for sets that need a smaller overlap).
+    common: int = 4
     #: Elements in at least this share of documents get a frequency level of their own. The
     #: table sent to every task has at most 1 / share times the mean set size entries.
     frequent_share: float = 1e-4
@@ -130,7 +133,8 @@ def signatures(texts: DataFrame, rule: Rule) -> DataFrame:
                 size.append(n)
                 f1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(mix(s ^ other).sum(dtype=np.uint64).astype(np.int64)))
-                length = n - -(-n * rule.percent // 100) + 1 if n else 0
+                least = -(-n * rule.percent // 100)
+                length = n - least + min(rule.common, least)
                 prefixes.append(np.sort(key)[:length].view(np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             yield pa.RecordBatch.from_arrays(
@@ -143,16 +147,30 @@ def signatures(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def possible(rule: Rule, a: str, b: str):
-    """Size filter and, at a shared element, position filter for two sets."""
+    """Size and position filter for two sets at one of their first shared elements.
+
+    Before the k-th shared element lie k - 1 shared ones, all among the ``met`` elements that
+    other prefixes have too; whatever else lies before it is in one set only.
+    """
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    left = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
+    left = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) + F.least(
+        F.lit(rule.common - 1), F.col(f"{a}met"), F.col(f"{b}met"))
     p = rule.percent
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * p) & (left * (100 + p) >= (na + nb) * p)
 
 
-def verify(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the limit."""
+def shared_least(rule: Rule, n):
+    """Prefix elements a set shares with any set it links to."""
+    return F.least(F.lit(rule.common), F.ceil(n * rule.percent / 100))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the limit. Sets are made anew for the ids that
+    occur in pairs, so nothing is stored for documents without candidates."""
     p = rule.percent
+    wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(),
+                    "wanted")
+    whole = staged(whole_sets(texts.join(wanted, "id"), rule), "sets")
 
     def run(batches):
         for batch in batches:
@@ -169,7 +187,9 @@ def verify(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
     left = whole.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = whole.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return staged(joined.mapInArrow(run, "a long, b long"), "links")
+    links = staged(joined.mapInArrow(run, "a long, b long"), "links")
+    drop_staged(wanted, whole)
+    return links
 
 
 def pack48(s: np.ndarray) -> bytes:
@@ -222,39 +242,46 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
         "id", F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)))
     marks = staged(signatures(texts, rule), "signatures")
     same = ["n", "f1", "f2"]
-    classes = staged(marks.filter("n > 0").groupBy(*same, "prefix").agg(F.min("id").alias("rep")),
-                     "classes")
-    groups = staged(classes.groupBy("n", "prefix").agg(
+    full = staged(marks.filter("n > 0").groupBy(*same, "prefix").agg(F.min("id").alias("rep")),
+                  "classes-with-prefix")
+    whole_marks, marks = marks, staged(marks.select("id", *same), "marks")
+    drop_staged(whole_marks)
+    groups = staged(full.groupBy("n", "prefix").agg(
         F.min("rep").alias("pivot"), F.count("*").alias("members")), "groups")
-    members = staged(classes.join(groups.filter("members > 1"), ["n", "prefix"]).select(
+    members = staged(full.join(groups.filter("members > 1"), ["n", "prefix"]).select(
         "pivot", "rep"), "members")
+    classes = staged(full.select(*same, "rep"), "classes")
+    drop_staged(full)
 
     postings = groups.select("pivot", "n", "members", F.posexplode("prefix").alias(
         "pos", "element"))
     often = postings.groupBy("element").agg(F.sum("members").alias("m")).filter("m > 1") \
         .select("element")
-    shared = staged(postings.join(often, "element").drop("members"), "postings")
-
-    # Whole sets of the classes that share anything; the others cannot have links.
-    wanted = shared.select(F.col("pivot").alias("id")).union(members.select("rep")).distinct()
-    whole = staged(whole_sets(texts.join(staged(wanted, "wanted"), "id"), rule), "sets")
-
-    hubs = shared.groupBy("element").agg(F.min(F.struct("pos", "n", "pivot")).alias("hub")) \
-        .select("element", F.col("hub.pos").alias("h_pos"), F.col("hub.n").alias("h_n"),
-                F.col("hub.pivot").alias("hub"))
-    led = shared.select("element", "pivot", F.col("pos").alias("p_pos"), F.col("n").alias("p_n")) \
-        .join(hubs, "element").filter((F.col("pivot") != F.col("hub"))
-                                      & possible(rule, "p_", "h_"))
-    first = led.groupBy("pivot", "hub").count().groupBy("pivot").agg(
+    # A set's prefix is bounded by its document.
+    before = Window.partitionBy("pivot", "n").orderBy("pos")
+    shared = staged(postings.join(often, "element").drop("members").withColumn(
+        "met", F.row_number().over(before) - 1), "postings")
+    drop_staged(groups)
+
+    hubs = shared.groupBy("element").agg(
+        F.min(F.struct("pos", "n", "pivot", "met")).alias("hub")).select(
+            "element", F.col("hub.pos").alias("h_pos"), F.col("hub.n").alias("h_n"),
+            F.col("hub.met").alias("h_met"), F.col("hub.pivot").alias("hub"))
+    led = shared.select("element", "pivot", F.col("pos").alias("p_pos"), F.col("n").alias("p_n"),
+                        F.col("met").alias("p_met")).join(hubs, "element").filter(
+        (F.col("pivot") != F.col("hub")) & possible(rule, "p_", "h_"))
+    # Round one may leave pairs out: round two takes every pair that it did not join.
+    first = led.groupBy("pivot", "hub", "p_n").count().filter(
+        F.col("count") >= shared_least(rule, F.col("p_n"))).groupBy("pivot").agg(
         F.max(F.struct("count", -F.col("hub"))).alias("best")).select(
             F.col("pivot").alias("a"), (-F.col("best.col2")).alias("b"))
     first = first.union(members.filter("pivot <> rep").select("rep", "pivot"))
-    links = verify(staged(first.distinct(), "first-pairs"), whole, rule).union(
+    links = verify(staged(first.distinct(), "first-pairs"), texts, rule).union(
         shared_ids(marks, classes))
     labels = components(links)
 
-    rest = verify(staged(across(shared, members, labels, rule), "rest-pairs"), whole, rule)
-    drop_staged(shared, whole)
+    rest = verify(staged(across(shared, members, labels, rule), "rest-pairs"), texts, rule)
+    drop_staged(shared)
     labels = components(links.union(rest))
 
     of_class = labelled(classes.select(*same, "rep"), labels, "rep").groupBy(*same).agg(
@@ -292,7 +319,7 @@ def across(shared: DataFrame, members: DataFrame, labels: DataFrame, rule: Rule)
     the list, so the work is the number of others times the length of the list.
     """
     every = shared.join(members, "pivot", "left").select(
-        "element", "pos", "n", F.coalesce("rep", "pivot").alias("id"))
+        "element", "pos", "n", "met", F.coalesce("rep", "pivot").alias("id"))
     every = labelled(every, labels, "id")
     by_comp = every.groupBy("element", "comp").count()
     main = by_comp.groupBy("element").agg(
@@ -301,12 +328,17 @@ def across(shared: DataFrame, members: DataFrame, labels: DataFrame, rule: Rule)
     mixed = staged(every.join(main, "element"), "mixed-lists")
     a = mixed.filter("comp <> main").select(
         F.col("element").alias("e"), F.col("id").alias("a"), F.col("comp").alias("a_comp"),
-        F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
-    b = mixed.select("element", F.col("id").alias("b"), F.col("comp").alias("b_comp"),
-                     F.col("n").alias("b_n"), F.col("pos").alias("b_pos"))
-    return a.join(b, (F.col("e") == F.col("element")) & (F.col("a_comp") != F.col("b_comp"))
-                  & possible(rule, "a_", "b_")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        F.col("met").alias("a_met"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
+    b = mixed.select("element", "main", F.col("id").alias("b"), F.col("comp").alias("b_comp"),
+                     F.col("met").alias("b_met"), F.col("n").alias("b_n"),
+                     F.col("pos").alias("b_pos"))
+    pairs = a.join(b, (F.col("e") == F.col("element")) & (F.col("a_comp") != F.col("b_comp"))
+                 & ((F.col("b_comp") == F.col("main")) | (F.col("a") > F.col("b")))
+                 & possible(rule, "a_", "b_")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
+        F.least("a_n", "b_n").alias("n"))
+    return pairs.groupBy("a", "b", "n").agg(F.count("*").alias("common")).filter(
+        F.col("common") >= shared_least(rule, F.col("n"))).select("a", "b")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(n=5, percent=80), id_col: str = "doc_id",
