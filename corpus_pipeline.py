@@ -14,15 +14,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated multi-line chunks from the texts; every document stays."""
+    """Remove repeated passages of lines from the texts; every document stays."""
     common.tuned(spark)
     return line_dedup.remove(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that five-word shingles link at 0.8 or more."""
+    """Keep one document of each group that five-word shingles link at 0.8 or more.
+
+    A text that is empty here had all its lines in other documents, and goes as well.
+    """
     common.tuned(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs.filter("NOT text <=> ''"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

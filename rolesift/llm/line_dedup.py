@@ -1,14 +1,20 @@
-"""Removal of repeated multi-line chunks, cut at content-defined boundaries.
+"""Removal of repeated passages of lines: content-defined chunks and windows of enough words.
 
 A document's lines are hashed; a rolling hash over the last ``window`` line hashes ends a chunk
 where it is 0 modulo ``divisor``. A boundary depends on those lines alone, so inserting or
-removing lines elsewhere does not move it. Chunks of two lines and more that occur again
-anywhere in the corpus are candidates; candidates are grouped by their bytes, and in each group
-all but the first occurrence (smallest id, then earliest line) are removed.
+removing lines elsewhere does not move it. Chunks of two lines and more count. Besides, from each
+line with a word on and back from it, the shortest run of lines with ``least_words`` words is a
+chunk, a single line included. Any passage of whole lines with so many words is the union of such
+windows, from its first word to its last, so it goes whole wherever it repeats, however the lines
+around it move the boundaries.
 
-Only built-in functions are used. Hashes and counts are shuffled first; text moves only for
-candidates, and once for the documents that are rewritten. Partial aggregates collapse a chunk
-that a third of all documents share; joins on its hash are split at run time.
+Chunks that occur again anywhere in the corpus are candidates; candidates are grouped by the
+SHA-256 digest of their bytes, and in each group all but the first occurrence (smallest id, then
+earliest line) are removed. Each line removed equals an earlier one, so one copy always stays.
+
+Only built-in functions are used. Hashes and counts are shuffled first, then positions and
+digests of chunks; text moves once, for the documents that are rewritten. Partial aggregates
+collapse a chunk that a third of all documents share; joins on its hash are split at run time.
 
 Defined results: null text stays null, empty text stays empty; a text whose lines all go becomes
 empty; rows with the same id count as one document; null ids sort after all others and count as
@@ -18,6 +24,7 @@ are those of the input, whatever they are called.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,16 +38,47 @@ class Rule:
     window: int = 2
     divisor: int = 3
     least_lines: int = 2
+    #: Words of a window; a chunk of ``least_lines`` lines may have fewer.
+    least_words: int = 50
 
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def reach(counts: str, least: int) -> Column:
+    """For each line, how many from it on are the fewest with ``least`` words; 0 if all have less.
+
+    ``counts`` names an array of positive word counts, so ``least`` lines always do.
+    """
+    pair = 1 << 32
+
+    def walk(i: Column, most: int) -> Column:
+        return F.aggregate(
+            F.slice(counts, i + 1, most), F.lit(0).cast("long"),
+            lambda total, n: F.when(total % pair < least, total + pair + n).otherwise(total),
+            lambda total: F.when(total % pair >= least, F.floor(total / pair).cast("int"))
+            .otherwise(0))
+
+    def found(n: Column, i: Column) -> Column:
+        near = walk(i, 4)
+        return F.when(n >= least, 1).when(near > 0, near).otherwise(walk(i, least))
+
+    return F.transform(counts, found)
+
+
+def chunks(docs: DataFrame, rule: Rule = Rule(), form: Callable[[Column], Column] = lambda x: x
+           ) -> DataFrame:
     """(doc_id, start, size, chunk) of every chunk of documents (doc_id, text)."""
     hashed = docs.filter("text IS NOT NULL").select("doc_id", lines(F.col("text")).alias("lines"))
-    hashed = hashed.withColumn("codes", F.transform("lines", lambda x: F.xxhash64(x)))
+    hashed = hashed.withColumns({
+        "codes": F.transform("lines", lambda x: F.xxhash64(x)),
+        "words": F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+")))})
+    hashed = hashed.withColumn("held", F.filter(
+        F.transform("words", lambda n, i: F.struct(i.alias("at"), n.alias("n"))),
+        lambda h: h["n"] > 0))
+    hashed = hashed.withColumns({"at": F.col("held.at"), "n": F.col("held.n"),
+                                 "back_n": F.reverse("held.n")})
 
     def ends(code: Column, i: Column) -> Column:
         first = F.greatest(i - rule.window + 1, F.lit(0))
@@ -49,27 +87,42 @@ def chunks(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     marks = F.filter(F.transform("codes", lambda c, i: F.when(ends(c, i), i + 1)),
                      lambda e: e.isNotNull())
-    spans = F.arrays_zip(
-        F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"),
-        F.col("ends").alias("stop"))
+    hashed = hashed.withColumns({"ends": marks, "ahead": reach("n", rule.least_words),
+                                 "back": F.reverse(reach("back_n", rule.least_words))})
+    cut = F.filter(
+        F.arrays_zip(
+            F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"),
+            F.col("ends").alias("stop")),
+        lambda s: (s["stop"] - s["start"] >= rule.least_lines) & F.exists(
+            F.slice("words", s["start"] + 1, s["stop"] - s["start"]), lambda n: n > 0))
+    after = F.transform("ahead", lambda k, i: F.when(k > 0, number(
+        F.get("at", i), F.get("at", i + k - 1) + 1)))
+    before = F.transform("back", lambda k, i: F.when(k > 0, number(
+        F.get("at", i - k + 1), F.get("at", i) + 1)))
+    spans = F.array_distinct(F.array_compact(F.concat(
+        F.transform(cut, lambda s: number(s["start"], s["stop"])), after, before)))
     # Texts are cut before the rows are, so no row repeats the whole document.
-    parts = F.transform(
-        F.filter(spans, lambda s: s["stop"] - s["start"] >= rule.least_lines),
-        lambda s: F.struct(
+    parts = F.transform(F.transform(spans, lambda x: F.struct(
+        F.shiftright(x, 32).cast("int").alias("start"),
+        x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("stop"))), lambda s: F.struct(
             s["start"].alias("start"), (s["stop"] - s["start"]).alias("size"),
-            F.array_join(F.slice("lines", s["start"] + 1, s["stop"] - s["start"]), "\n")
+            form(F.array_join(F.slice("lines", s["start"] + 1, s["stop"] - s["start"]), "\n"))
             .alias("chunk")))
-    return hashed.withColumn("ends", marks).select("doc_id", F.inline(parts)) \
-        .filter(F.col("chunk").rlike(r"\S"))
+    return hashed.select("doc_id", F.inline(parts))
+
+
+def number(start: Column, stop: Column) -> Column:
+    """A span as one number, so that equal spans are found by hashing."""
+    return F.shiftleft(start.cast("long"), 32) + stop
 
 
 def repeats(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, start, size) of every chunk to remove."""
-    found = chunks(docs, rule).withColumns({
+    found = chunks(docs, rule, lambda x: F.unhex(F.sha2(x, 256))).withColumns({
         "doc_id": F.coalesce("doc_id", F.lit(2**63 - 1)), "code": F.xxhash64("chunk")})
     often = found.groupBy("code").count().filter("count > 1").select("code")
     candidates = staged(found.join(often, "code"), "chunk-candidates")
-    # Grouping by the text itself compares bytes; the code only spreads the groups.
+    # The digest decides; the code only spreads the groups.
     firsts = candidates.groupBy("code", "chunk").agg(
         F.min(F.struct("doc_id", "start")).alias("kept"))
     return candidates.join(firsts, ["code", "chunk"]).filter(

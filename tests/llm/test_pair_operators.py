@@ -156,6 +156,24 @@ def test_boundaries_resist_shifts(spark):
     assert left[1] == 40 and left[2] < 16 and left[3] < 20
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_a_passage_goes_whole_between_other_lines(spark, size):
+    rng = random.Random(size)
+    own = lambda: [sentence(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 6))]
+    rows, want = [], []
+    for k in range(25):
+        passage = [sentence(rng, 55 // size + rng.randint(1, 9)) for _ in range(size)]
+        if size > 2:
+            passage[-1] = "end of it"
+            passage[0] += sentence(rng, 55)
+        for i in (2 * k, 2 * k + 1):
+            before, after = own(), own()
+            rows.append((i, "\n".join(before + passage + after)))
+            want.append((i, "\n".join(before + passage * (i % 2 == 0) + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, line_dedup.remove(docs).collect())) == want
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.remove(empty).collect() == []
 
