@@ -80,6 +80,27 @@ def test_quality_measures_and_ratio(docs, texts, labels):
     assert quality.keep(docs, model, rules).columns == docs.columns
 
 
+def test_quality_threshold_rejects_labelled_bad_documents(spark):
+    rng = np.random.default_rng(2)
+    text = lambda a, b, n: " ".join(f"w{k}" for k in rng.integers(a, b, n))
+    rows = [(i, text(0, 12, 80)) for i in range(200)]
+    rows += [(200 + i, f"{text(0, 12, 80)} {text(12, 52, 8)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(
+        [(i, int(i < 200), int(i % 40 == 0 and i >= 200)) for i in range(240) if i % 2 == 0],
+        "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep(docs, quality.fit(docs, marks)).collect()}
+    assert set(range(0, 200, 2)) <= kept and not kept & set(range(200, 240, 2))
+
+
+def test_quality_threshold_keeps_the_share_and_uses_the_gap():
+    trusted = np.arange(2000) / 1000
+    find = quality.threshold
+    assert find(trusted, np.array([-3.0, -1.0])) == pytest.approx((0.002 - 1) / 2)
+    assert find(trusted, np.array([0.5])) == pytest.approx(0.002)
+    assert find(trusted, np.empty(0)) == pytest.approx(0.002 - 0.25)
+
+
 def test_quality_without_rows(empty, docs, labels):
     model = quality.fit(empty, labels)
     assert quality.score(empty, model).count() == 0 and quality.keep(empty, model).count() == 0
