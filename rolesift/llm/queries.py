@@ -155,5 +155,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.train(docs)).withColumns({
+    counts = pseudo_lm.word_counts(docs)
+    model = pseudo_lm.train(docs, counts=counts)
+    words = pseudo_lm.lexicon(counts, model)
+    common.drop_staged(counts)
+    return pseudo_lm.score(docs, model, within=words).withColumns({
         c: F.round(c, 4) for c in ("log_likelihood", "mean_log_prob")})

@@ -227,6 +227,29 @@ def test_language_model_scores_follow_the_definition(docs, empty):
     assert pseudo_lm.score(empty, pseudo_lm.train(empty, net)).count() == 0
 
 
+@pytest.mark.parametrize("share", [1e-6, 5e-3])
+def test_word_probabilities_sum_to_one(docs, texts, share):
+    net = pseudo_lm.Network(own_ids=20, hashed_ids=6, width=4, rounds=1, listed_share=share)
+    counts = pseudo_lm.word_counts(docs)
+    model = pseudo_lm.train(docs, net, counts=counts)
+    words = pseudo_lm.lexicon(counts, model)
+    every = Words(pa.array([" ".join(t or "" for _, t in texts)]), lower=True)
+    _, at, n = np.unique(every.hash, return_index=True, return_counts=True)
+    ids = model.encode(every)
+    p = np.exp(words.within(every, ids, net.own_ids))[at]
+    assert (p[ids[at] < 20] == 1).all()
+    for k in range(20, 26):
+        mine = ids[at] == k
+        new = np.exp(words.rest[k - 20])
+        assert p[mine].sum() + new == pytest.approx(1) and new <= p[mine].min() + 1e-12
+        if share < 1e-4:
+            assert p[mine] == pytest.approx(n[mine] / (n[mine].sum() + 1))
+    known = docs.filter("doc_id = 3")
+    odd = known.withColumn("text", F.lit(" ".join(f"zq{k}" for k in range(50))))
+    means = [pseudo_lm.score(x, model, within=words).first()["mean_log_prob"] for x in (known, odd)]
+    assert means[0] > means[1]
+
+
 def test_gradients_are_those_of_the_loss():
     net = pseudo_lm.Network(own_ids=5, hashed_ids=2, width=3)
     rng = np.random.default_rng(0)
