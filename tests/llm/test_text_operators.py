@@ -227,6 +227,24 @@ def test_language_model_scores_follow_the_definition(docs, empty):
     assert pseudo_lm.score(empty, pseudo_lm.train(empty, net)).count() == 0
 
 
+@pytest.mark.parametrize("rounds,mask", [(2, 8), (3, 8), (1, 4), (4, 4)])
+def test_the_rounds_predict_every_position_once(texts, rounds, mask):
+    net = pseudo_lm.Network(own_ids=20, hashed_ids=6, width=4, rounds=rounds, mask=mask)
+    words = Words(pa.array([t for _, t in texts], pa.string()), lower=True)
+    model = pseudo_lm.Model(net, np.empty(0, np.uint64), np.empty(0, int),
+                            [np.zeros(s) for s in net.shapes])
+    seen = []
+    for turn in range(rounds):
+        trainer = pseudo_lm.Trainer(model, turn)
+        trainer.step = lambda: None
+        trainer.add(words)
+        seen += [a for around, target in trainer.held
+                 for a in np.vstack([around, target]).T.tolist()]
+    ids = model.encode(words)
+    want = np.vstack([model.contexts(ids, words), ids]).T.tolist()
+    assert sorted(seen) == sorted(want)
+
+
 @pytest.mark.parametrize("share", [1e-6, 5e-3])
 def test_word_probabilities_sum_to_one(docs, texts, share):
     net = pseudo_lm.Network(own_ids=20, hashed_ids=6, width=4, rounds=1, listed_share=share)
