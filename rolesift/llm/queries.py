@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, decontaminate, jaccard, licenses, line_dedup, packing, quality,
-                          pseudo_lm, token_counts, token_files, warc)
+from rolesift.llm import (common, decontaminate, jaccard, licenses, line_dedup, packing, piece_codec,
+                          pseudo_lm, quality, token_alignment, token_counts, token_files, warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.drop_staged(counts)
     return pseudo_lm.score(docs, model, within=words).withColumns({
         c: F.round(c, 4) for c in ("log_likelihood", "mean_log_prob")})
+
+
+@query
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.round_trip(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"))
