@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import (common, decontaminate, jaccard, licenses, line_dedup, packing, piece_codec,
-                          pseudo_lm, quality, token_alignment, token_counts, token_files, warc)
+from rolesift.llm import (common, conversation_trie, decontaminate, jaccard, licenses,
+                          line_dedup, packing, piece_codec, pseudo_lm, quality, token_alignment,
+                          token_counts, token_files, warc)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +176,43 @@ def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_statistics(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = """
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id
+                                ORDER BY turn NULLS FIRST, role, text) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns
+        FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, turns, xor(list_reduce(
+        [CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                                       lambda s: CAST(ascii(s) AS BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i:
+          xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+      FROM own),
+r AS (SELECT c.conv_id, COALESCE(o.turns[1:h], []) || c.turns[h + 1:] AS turns
+      FROM c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, turns[1:d] AS node, len(turns) AS size
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT node, d, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+             string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ','
+                        ORDER BY conv_id) AS ends FROM p GROUP BY node, d),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, COALESCE(j.n_children, 0) AS n_children,
+             (n.n_convs - 1) * CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(
+               n.node[n.d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+      FROM n LEFT JOIN n u ON n.d > 0 AND u.d = n.d - 1 AND u.node = n.node[1:n.d - 1]
+      LEFT JOIN (SELECT node[1:d - 1] AS node, COUNT(*) AS n_children FROM n WHERE d > 0
+                 GROUP BY ALL) j ON j.node = n.node),
+s AS (SELECT node[1:up] AS node, COUNT(*) FILTER (n_children = 0) AS n_leaves,
+             SUM(saved) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM k) GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(COALESCE(ends, '')) AS ends_sha256
+FROM k JOIN s USING (node)
+"""
