@@ -71,7 +71,12 @@ def expected(native: str, source: str, **over: str) -> str:
     FROM postings, params WHERE {values['where']}"""
 
 
+#: Payload of a posting, the SQL of its native id and of its result, by spec.
+PAYLOADS: dict[str, tuple] = {}
+
+
 def spec(key: str, name: str, payload, native: str, **over: str) -> None:
+    PAYLOADS[name] = (payload, native, over)
     add(key, spec_query(name, payload), expected(native, name, **over), "params", "postings")
 
 

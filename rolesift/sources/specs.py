@@ -51,6 +51,11 @@ def _flag(c: Column) -> Column:
     return F.lower(c).try_cast("boolean")
 
 
+def _row(values: dict[str, Column]) -> list[Column]:
+    return [F.coalesce(values[n], F.lit(None)).cast(k).alias(n) if n in values
+            else F.lit(None).cast(k).alias(n) for n, k in RAW_FIELDS.items()]
+
+
 def raw_jobs(df: DataFrame, spec: SourceSpec) -> DataFrame:
     """Intermediate rows of one source; incomplete payloads are left out."""
     if spec.schema:
@@ -64,18 +69,46 @@ def raw_jobs(df: DataFrame, spec: SourceSpec) -> DataFrame:
     else:
         source = html_fields(df, spec.picks, "card_html")
         values = spec.fields(F.lit(None))
-    row = [F.coalesce(values[n], F.lit(None)).cast(k).alias(n) if n in values
-           else F.lit(None).cast(k).alias(n) for n, k in RAW_FIELDS.items()]
-    out = source.select(*row)
+    out = source.select(*_row(values))
     for name in spec.required:
         out = out.where(F.coalesce(F.col(name), F.lit("")) != "")
     return out
 
 
+#: Why a payload is no posting. The first two are failures of the item, the last is a skip.
+EMPTY, MALFORMED, INCOMPLETE = "empty payload", "malformed payload", "incomplete: "
+
+
+def tagged_jobs(df: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Intermediate rows of every payload of a JSON source, none left out.
+
+    ``reason`` says why a payload is no posting: it is null or blank, it does not parse as one
+    JSON object of the spec's schema, or required fields are empty, which names them. It is
+    null for good rows. The columns of ``df`` are kept; ``company_meta`` is used where present.
+    """
+    ddl = spec.schema + f", _company_meta {META}, _malformed string"
+    options = {"columnNameOfCorruptRecord": "_malformed"}
+    # Anything but an object, an unfinished one included, is no record of the source.
+    body = F.when(F.startswith(F.ltrim("payload"), F.lit("{")), F.col("payload"))
+    parsed = df.withColumn("_p", computed_once(F.from_json(body, ddl, options)))
+    meta = F.col("_p._company_meta")
+    if "company_meta" in df.columns:
+        meta = F.coalesce(F.col("company_meta"), meta)
+    rows = parsed.withColumn("_meta", meta).select(
+        *df.columns, F.col("_p").isNull().alias("_none"), F.col("_p._malformed").alias("_bad"),
+        *_row(spec.fields(F.col("_p"))))
+    lacks = F.array_compact(F.array(*[
+        F.when(F.coalesce(F.col(n), F.lit("")) == "", F.lit(n)) for n in spec.required]))
+    blank = F.trim(F.coalesce("payload", F.lit(""))) == ""
+    reason = F.when(blank, EMPTY).when(F.col("_none") | F.col("_bad").isNotNull(), MALFORMED) \
+        .when(F.size(lacks) > 0, F.concat(F.lit(INCOMPLETE), F.array_join(lacks, ", ")))
+    return rows.withColumn("reason", reason).drop("_none", "_bad")
+
+
 def normalize_posting(raw: DataFrame, source: str | Column, as_of: Column,
-                      parse_posted: Callable[[Column, Column], Column] | None = None
-                      ) -> DataFrame:
-    """Intermediate rows to posting rows: keys, dates, defaults."""
+                      parse_posted: Callable[[Column, Column], Column] | None = None,
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """Intermediate rows to posting rows: keys, dates, defaults; ``keep`` passes through."""
     src = F.lit(source) if isinstance(source, str) else source
     posted = F.col("posted_at")
     when = parse_posted(posted, as_of) if parse_posted else N.canonical_timestamp(posted)
@@ -88,7 +121,8 @@ def normalize_posting(raw: DataFrame, source: str | Column, as_of: Column,
         "salary_max", posted_at.alias("posted_at"), as_of.alias("scraped_at"),
         F.lit("active").alias("status"), F.lit("unscored").alias("track"),
         F.lit(0).alias("score"),
-        N.score_posted(F.lit(0), N.iso_z(posted_at)).alias("score_posted"), "company_tier")
+        N.score_posted(F.lit(0), N.iso_z(posted_at)).alias("score_posted"), "company_tier",
+        *keep)
 
 
 def normalize_source(df: DataFrame, spec: SourceSpec, as_of: Column) -> DataFrame:
