@@ -149,20 +149,20 @@ def runs(tree: DataFrame) -> DataFrame:
 
 def contract(active: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Rounds of splicing and raking until only the root is left. ``active`` has ``node``,
-    ``parent``, the totals gathered so far and ``up_``, what the node's parent gets on top of
-    them. Gives the finished nodes and the splices of each round."""
+    ``parent``, the totals gathered so far, ``up_``, what the node's parent gets on top of
+    them, and ``round``, a column so that all rounds share their generated code. Gives the finished
+    nodes and the splices of each round."""
     finished, spliced = [], []
-    while True:
-        n = len(spliced)
 
-        def coin(node: Column) -> Column:
-            return F.xxhash64(node, F.lit(n)).bitwiseAND(1) == 1
+    def coin(node: str) -> Column:
+        return F.xxhash64(node, "round").bitwiseAND(1) == 1
 
+    while True:
         kids = active.groupBy(F.col("parent").alias("_of")).agg(
             F.count(F.lit(1)).alias("kids"), F.min("node").alias("child"))
         known = active.join(kids, F.col("node") == F.col("_of"), "left").withColumn(
             "goes", F.expr("kids <=> 1 AND parent IS NOT NULL")
-            & coin(F.col("node")) & ~coin(F.col("child")))
+            & coin("node") & ~coin("child"))
         gone = known.filter("goes").select(
             F.col("child").alias("_child"), F.col("node").alias("_spliced"),
             F.col("parent").alias("_parent"),
@@ -173,7 +173,7 @@ def contract(active: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             "node", F.coalesce("_parent", "parent").alias("parent"), *TOTALS,
             *[(F.col(f"up_{t}") + F.coalesce(f"_{t}", F.lit(0))).alias(f"up_{t}")
               for t in TOTALS],
-            F.col("kids").isNull().alias("leaf"), "_spliced",
+            F.col("kids").isNull().alias("leaf"), (F.col("round") + 1).alias("round"), "_spliced",
             *[(F.col(f"_own_{t}") + F.col(f"up_{t}")).alias(f"plus_{t}") for t in TOTALS]),
             "contraction")
         finished.append(step.filter("leaf").select("node", *TOTALS))
@@ -186,7 +186,7 @@ def contract(active: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             *[F.sum(F.col(t) + F.col(f"up_{t}")).alias(f"_{t}") for t in TOTALS])
         active = step.filter("NOT leaf").join(raked, F.col("node") == F.col("_of"), "left").select(
             "node", "parent", *[(F.col(t) + F.coalesce(f"_{t}", F.lit(0))).alias(t)
-                                for t in TOTALS], *[f"up_{t}" for t in TOTALS])
+                                for t in TOTALS], *[f"up_{t}" for t in TOTALS], "round")
 
 
 def expand(finished: list[DataFrame], spliced: list[DataFrame]) -> DataFrame:
@@ -210,7 +210,8 @@ def subtree_totals(tree: DataFrame) -> DataFrame:
     active = contracted.filter("node = last").select(
         "node", F.col("above").alias("parent"),
         (F.col("n_children") == 0).cast("long").alias("leaves"), "saved",
-        F.lit(0).cast("long").alias("up_leaves"), F.col("up").alias("up_saved"))
+        F.lit(0).cast("long").alias("up_leaves"), F.col("up").alias("up_saved"),
+        F.lit(0).alias("round"))
     totals = expand(*contract(active)).select(F.col("node").alias("_last"), *TOTALS)
     return contracted.select("node", "last", "plus").join(
         totals, F.col("last") == F.col("_last")).select(
