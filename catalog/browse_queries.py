@@ -488,15 +488,22 @@ add("source_health_card", lambda s, d: R.source_health_card(B.runs(s, d)).select
       count(CASE WHEN status = 'ok' THEN 1 END) AS ok_runs FROM recent GROUP BY 1""", "runs")
 
 
-def _rescored(s: SparkSession, d: str) -> DataFrame:
+def before_rescore(s: SparkSession, d: str) -> DataFrame:
     stored = B.postings(s, d).join(B.verdicts(s, d).where("k % 2 = 0").select(
         "job_id", F.col("semantic_score"), "semantic_scored_at"), "job_id", "left")
-    stored = stored.withColumns({"score": F.coalesce("semantic_score", F.lit(7)),
-                                 "tier": F.lit("old"), "track": F.lit("unscored")})
+    return stored.withColumns({"score": F.coalesce("semantic_score", F.lit(7)),
+                               "tier": F.lit("old"), "track": F.lit("unscored")})
+
+
+def rescored(s: SparkSession, d: str, stored: DataFrame) -> DataFrame:
     return TB.rescore(stored, B.verdicts(s, d), SCORED_CFG, B.as_of(), B.companies(s, d),
                       fresh_hours=24 * 500)
 
 
+def _rescored(s: SparkSession, d: str) -> DataFrame:
+    return rescored(s, d, before_rescore(s, d))
+
+
 _RESCORED = f"""old AS (SELECT k AS ok, semantic_score AS old_score,
     semantic_scored_at AS old_at FROM verdicts WHERE k % 2 = 0),
   results AS (SELECT s.job_id, s.k, CASE WHEN old_at > as_of - INTERVAL 500 DAY THEN 'skipped'

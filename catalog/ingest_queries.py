@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.functions.normalize import iso_z
+from rolesift.operators import shards as SH
 from rolesift.plans import ingest_run as R
+from rolesift.sources import archive as A
 from rolesift.sources.specs import SPECS, normalize_source
+from rolesift.streaming import ingest as ST
 from catalog import bindings as B
-from catalog.registry import add
+from catalog.browse_queries import before_rescore, rescored
+from catalog.registry import ORACLES, add
 from catalog.scalar_queries import iso_sql
 from catalog.source_queries import PAYLOADS, expected, folder
 
@@ -97,3 +102,91 @@ add("ingest_merged", lambda s, d: _run(s, d).merged.select("job_id", "change"),
       AS change FROM (SELECT DISTINCT id FROM item WHERE reason IS NULL)
     FULL JOIN (SELECT job_id FROM made JOIN sent ON id = job_id WHERE k % 2 = 0) old
       ON old.job_id = id""", "params", "postings")
+
+# --- archive of runs ------------------------------------------------------
+# One run per source and quarter, written twice; then directories of 1000 days and more go.
+
+
+def _replayed(s: SparkSession, d: str) -> tuple[DataFrame, str]:
+    root = folder(s)
+    rows = B.postings(s, d).select("source", F.date_trunc("quarter", "posted_at").alias("run_ts"),
+                                   F.to_json(F.struct("job_id", "title")).alias("payload"))
+    for _ in range(2):
+        A.replace_runs(rows, root, files=1)
+    return A.read_runs(s, root), root
+
+
+def _expired(s: SparkSession, d: str) -> DataFrame:
+    _, root = _replayed(s, d)
+    A.drop_expired(s, root, date.fromisoformat(B.AS_OF[:10]), 1000)
+    return A.read_runs(s, root)
+
+
+_RUN_ROWS = """SELECT source, job_id, CAST(year(posted_at) AS BIGINT) AS y,
+  CAST(quarter(posted_at) AS BIGINT) AS q FROM postings, params"""
+
+
+def _by_quarter(df: DataFrame) -> DataFrame:
+    return df.select("source", F.get_json_object("payload", "$.job_id").alias("job_id"),
+                     F.year("run_ts").cast("bigint").alias("y"),
+                     F.quarter("run_ts").cast("bigint").alias("q"))
+
+
+add("raw_runs_replayed", lambda s, d: _by_quarter(_replayed(s, d)[0]), _RUN_ROWS,
+    "params", "postings")
+add("raw_runs_expired", lambda s, d: _by_quarter(_expired(s, d)),
+    f"{_RUN_ROWS} WHERE date_trunc('quarter', posted_at) > as_of - INTERVAL 1000 DAY",
+    "params", "postings")
+
+# --- resumed passes -------------------------------------------------------
+
+
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    """A rescore pass that stops after one of three shards and is started again."""
+    root = folder(s)
+    SH.write_shards(before_rescore(s, d), root, 3)
+    for stop in (1, None):
+        SH.run_shards(s, root, lambda rows: rescored(s, d, rows).select(
+            "job_id", "outcome", c("score").cast("bigint").alias("score"), "tier", "track",
+            c("semantic_score").cast("bigint").alias("semantic_score")), stop)
+    return SH.read_finished(s, root)
+
+
+add("rescore_resumed", _resumed)
+ORACLES["rescore_resumed"] = ORACLES["rescore"]
+
+# --- run counts as a stream -----------------------------------------------
+# Events arrive in five files by time; some of the first file come with the fourth.
+_CUTS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-27")
+_SLICE = "CASE " + " ".join(f"WHEN {{ts}} < TIMESTAMP '{d}' THEN {i}" for i, d in enumerate(_CUTS)) \
+    + f" ELSE {len(_CUTS)} END"
+
+
+def _run_events(s: SparkSession, d: str) -> str:
+    root = folder(s)
+    rows = B.runs(s, d).withColumn("slice", F.expr(_SLICE.format(ts="run_timestamp"))).withColumn(
+        "slice", F.expr("CASE WHEN slice = 0 AND run_id % 50 = 7 THEN 3 ELSE slice END"))
+    for i in range(len(_CUTS) + 1):     # files are taken in the order they were written
+        rows.where(c("slice") == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    ddl = ("source_name string, run_timestamp timestamp, jobs_new long, jobs_updated long")
+    stream = ST.read_landed(s, f"{root}/in", ddl, "parquet", max_files=1)
+    ST.write_run_events(ST.run_count_events(stream), f"{root}/out", f"{root}/progress") \
+        .awaitTermination()
+    return f"{root}/out"
+
+
+_SLICED = f"""timed AS (SELECT *, CASE WHEN run_timestamp < TIMESTAMP '{_CUTS[0]}'
+    AND run_id % 50 = 7 THEN 'late' ELSE 'count' END AS kind FROM runs),
+  seen AS (SELECT max(run_timestamp) - INTERVAL 2 DAY AS watermark FROM runs)"""
+add("stream_run_windows", lambda s, d: ST.read_run_events(s, _run_events(s, d), "count").select(
+    iso_z(c("day")).alias("day"), "source_name", "runs", "jobs_new", "jobs_updated"),
+    f"""WITH {_SLICED} SELECT {iso_sql("date_trunc('day', run_timestamp)::TIMESTAMP")} AS day,
+      source_name, count(*) AS runs, CAST(sum(jobs_new) AS BIGINT) AS jobs_new,
+      CAST(sum(jobs_updated) AS BIGINT) AS jobs_updated FROM timed, seen
+    WHERE kind = 'count' AND date_trunc('day', run_timestamp) + INTERVAL 1 DAY <= watermark
+    GROUP BY 1, 2""", "runs")
+add("stream_late_runs", lambda s, d: ST.read_run_events(s, _run_events(s, d), "late").select(
+    iso_z(F.date_trunc("second", "run_timestamp")).alias("run_timestamp"), "source_name",
+    "jobs_new", "jobs_updated"),
+    f"""WITH {_SLICED} SELECT {iso_sql("date_trunc('second', run_timestamp)")} AS run_timestamp,
+      source_name, jobs_new, jobs_updated FROM timed WHERE kind = 'late'""", "runs")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rolesift.functions.normalize import iso_z
 from rolesift.functions.text import find_phrases
 from rolesift.operators.companies import company_rows
-from rolesift.operators.tables import read_snapshot
 from rolesift.operators.combine import broadcast_if_small
 from rolesift.session import work_folder
 from rolesift.sources import archive as A
@@ -523,9 +522,9 @@ def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
         return normalize_source(batch, SPECS["remoteok"], B.as_of())
 
     for _ in range(2):  # the second start finds nothing new and changes nothing
-        ST.stream_upsert(ST.read_landed(s, f"{root}/landed"), normalize, f"{root}/table",
-                         f"{root}/progress").awaitTermination()
-    return read_snapshot(s, f"{root}/table")
+        ST.stream_merge(ST.read_landed(s, f"{root}/landed"), normalize, f"{root}/merged",
+                        f"{root}/progress", buckets=8).awaitTermination()
+    return ST.read_merged(s, f"{root}/merged")
 
 
 add("stream_ingest", lambda s, d: _stream_ingest(s, d).select("job_id", "title", "company",

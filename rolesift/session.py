@@ -63,3 +63,24 @@ def work_folder(spark: SparkSession) -> str:
 
 
 _FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def matching_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a glob, in order."""
+    files, at = _folder(spark, pattern)
+    return sorted(s.getPath().toString() for s in files.globStatus(at) or [] if s.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.delete(at, True)

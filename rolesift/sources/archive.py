@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolesift.session import delete_folder, matching_folders
+
 RAW_SCHEMA = "run_ts timestamp, payload string, source string, y int, m int, d int"
 LIST_PATHS = ("jobs", "data", "results", "content")
 
@@ -33,6 +38,48 @@ def read_raw(spark: SparkSession, root: str, sources: list[str] | None = None,
     return raw
 
 
+def replace_runs(df: DataFrame, root: str, files: int = 4) -> None:
+    """Archive runs so that writing one again replaces it.
+
+    Each run of a source has its own directory below its date, and only directories that ``df``
+    has rows for are exchanged: a replayed run leaves the archive as it was, other runs of the same
+    day stay. Rows as for ``write_raw``; a null source or time gets a directory of its own.
+    """
+    dated = df.select("source", "run_ts", "payload", F.year("run_ts").alias("y"),
+                      F.month("run_ts").alias("m"), F.day("run_ts").alias("d"),
+                      F.date_format("run_ts", "HHmmssSSSSSS").alias("run"))
+    folders = ["source", "y", "m", "d", "run"]
+    bucket = F.pmod(F.xxhash64("payload"), F.lit(files))
+    dated.repartition(*folders, bucket).write.mode("overwrite").partitionBy(*folders) \
+        .option("partitionOverwriteMode", "dynamic").option("compression", "gzip").json(root)
+
+
+def read_runs(spark: SparkSession, root: str, sources: list[str] | None = None,
+              since: Column | None = None) -> DataFrame:
+    """Rows of ``replace_runs``; pruned like those of ``read_raw``."""
+    raw = spark.read.schema(RAW_SCHEMA + ", run string").json(root)
+    if sources is not None:
+        raw = raw.where(F.col("source").isin(sources))
+    if since is not None:
+        raw = raw.where(F.make_date("y", "m", "d") >= F.to_date(since))
+    return raw.drop("run")
+
+
+def drop_expired(spark: SparkSession, root: str, as_of: date, days: int) -> list[str]:
+    """Delete the date directories that are ``days`` old or older, and return them.
+
+    Only directory names are listed, no file is read. Works on both archive layouts; directories
+    without a date stay.
+    """
+    oldest, gone = as_of - timedelta(days=days), []
+    for path in matching_folders(spark, f"{root}/source=*/y=*/m=*/d=*"):
+        y, m, d = re.search(r"/y=([^/]*)/m=([^/]*)/d=([^/]*)$", path).groups()
+        if y.isdigit() and date(int(y), int(m), int(d)) <= oldest:
+            delete_folder(spark, path)
+            gone.append(path)
+    return gone
+
+
 def explode_payload(df: DataFrame, body: str = "body",
                     paths: tuple[str, ...] = LIST_PATHS) -> DataFrame:
     """One row per JSON object in a list response: a bare list, or the first list found
