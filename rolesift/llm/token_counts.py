@@ -2,10 +2,13 @@
 
 ``count_texts`` gives totals; ``PrefixCounts`` answers, for one text, how many tokens any
 prefix has and which is the longest prefix within a budget. Counts at the ends of pieces
-(runs between lone spaces) are running sums. Inside a piece the count at every character comes
-from a second recurrence over the merge table: the encoding of a prefix ends in the one token
-``t`` that is stable after the last token of the prefix before it, so
-``count[p] = count[p - len(t)] + 1``. Nothing that was counted is encoded again.
+(runs between lone spaces) are running sums, and inside a piece the counts at the ends of its
+pre-tokens are, which one encoding of the piece shows. Inside a pre-token the count at every
+character comes from a second recurrence over the merge table and the pre-token's bytes: the
+encoding of a prefix ends in the one token ``t`` that is stable after the last token of the prefix
+before it, so ``count[p] = count[p - len(t)] + 1``. Only short pre-tokens that are not basic
+letters, prefixes that end inside a special string, and pre-tokens whose characters change each
+other in normalisation (decomposed accents) are encoded prefix by prefix.
 
 Defined results: null text counts as empty, 0 bytes and 0 tokens; null ids and repeated rows
 pass through; empty tables give no rows; other columns are not read.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from rolesift.llm.tokens import PieceCache, pieces, tokenizer
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_chars long"
 VOCABULARY = "word_bpe_49k.json"
+#: Characters up to which a pre-token's prefixes are simply encoded.
+SHORT = 48
 
 
 class WordCounter:
@@ -82,13 +88,34 @@ class PrefixCounts:
         """Characters of the longest prefix with at most ``budget`` tokens."""
         if self.total <= budget:
             return sum(map(len, self.parts)) + max(len(self.parts) - 1, 0)
-        # Counts at piece ends never fall, so only the piece that crosses the budget matters;
-        # inside it they may fall again, so the last fitting prefix is taken.
+        # Counts at piece and pre-token ends never fall, so only the pre-token that crosses the
+        # budget matters; inside it they may fall again, so the last fitting prefix is taken.
         i = bisect_right(self.ends, budget)
         before = int(self.ends[i - 1]) if i else 0
-        inside = self.counter.table.inside(self.parts[i])
-        fits = [k for k, n in enumerate(inside) if before + n <= budget]
-        return int(self._chars()[i]) + (fits[-1] if fits else 0)
+        return int(self._chars()[i]) + self.counter.table.longest(self.parts[i], budget - before)
+
+
+@dataclass(frozen=True)
+class Unit:
+    """Characters ``start`` to ``stop`` of a piece with the tokens before and after them;
+    ``joined`` is the pre-token that a special string touches; a ``shared`` unit begins inside
+    the last character of the one before it, which normalisation made two of."""
+
+    start: int
+    stop: int
+    before: int
+    after: int
+    special: bool
+    joined: "Unit | None"
+    shared: bool
+
+
+def byte_signs() -> list[str]:
+    """The printable sign of each byte in byte-level vocabularies: printable Latin-1 characters
+    stand for themselves, the others follow from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class MergeTable:
@@ -102,17 +129,86 @@ class MergeTable:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
                   for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
-        self.longest = max(map(len, self.vocabulary))
+        self.longest_token = max(len(t.removesuffix(self.end)) for t in self.vocabulary)
+        #: All endings of tokens; what is none of them ends no token, however far it is extended.
+        self.tails = {t[k:] for t in self.vocabulary for k in range(len(t.removesuffix(self.end)))}
+        self.special = {t.content for t in library.get_added_tokens_decoder().values()}
+        self.sign = byte_signs()
         self.stable: dict[tuple[str, str], bool] = {}
 
+    def units(self, piece: str) -> list["Unit"]:
+        """Pre-tokens and special strings of a piece, in order."""
+        found = self.library.encode(piece, add_special_tokens=False)
+        out, begin, before = [], None, 0
+        for n, (token, (a, b)) in enumerate(zip(found.tokens, found.offsets), 1):
+            begin = a if begin is None else begin
+            special = token in self.special
+            if special or token.endswith(self.end):
+                # Cut short, a special string is text and belongs to what touches it.
+                joined = special and bool(out) and out[-1].stop == begin and not out[-1].special
+                out.append(Unit(begin, b, before, n, special, out[-1] if joined else None,
+                                bool(out) and begin < out[-1].stop))
+                begin, before = None, n
+        return out
+
     def inside(self, piece: str) -> list[int]:
-        """Counts of the prefixes of 0, 1, … characters. Runs of basic letters use the
-        recurrence; prefixes of other pieces, where normalisation or the pre-token pattern may
-        look ahead, are encoded one by one."""
-        if re.fullmatch(r"[A-Za-z]+", piece):
-            return self.letters(piece.lower())
-        return [0, *(len(e) for e in self.library.encode_batch_fast(
-            [piece[:k] for k in range(1, len(piece) + 1)], add_special_tokens=False))]
+        """Counts of the prefixes of 0, 1, … characters."""
+        out = [0] * (len(piece) + 1)
+        for unit in self.units(piece):
+            counts = self.within(piece, unit)
+            for k in range(unit.start + 1, len(piece) + 1):
+                if k > unit.stop:
+                    out[k:] = [unit.after] * (len(piece) + 1 - k)
+                    break
+                out[k] = counts[k - unit.start]
+        return out
+
+    def longest(self, piece: str, budget: int) -> int:
+        """Characters of the piece's longest prefix with at most ``budget`` tokens."""
+        units = self.units(piece)
+        crossing = next((u for u in units if u.after > budget), None)
+        if crossing is None:
+            return len(piece)
+        counts = self.within(piece, crossing, budget)
+        fits = [k for k in range(1, len(counts)) if counts[k] <= budget]
+        return crossing.start + (fits[-1] if fits else 0)
+
+    def within(self, piece: str, unit: "Unit", budget: int | None = None) -> list[int]:
+        """Counts of the piece's prefixes that end 0, 1, … characters into a unit. With ``budget``
+        those that cannot be within it may be left out: a token has a bounded size."""
+        if unit.special:
+            first = unit.joined or unit
+            head, before = first.start, first.before
+            if first.shared:
+                before -= self.units(piece[head])[0].after
+            cut = [piece[head:k] for k in range(unit.start, unit.stop + 1)]
+        else:
+            text, before = piece[unit.start:unit.stop], unit.before
+            if unit.shared:
+                before -= self.units(text[0])[0].after
+                word = ends = None
+            elif re.fullmatch("[A-Za-z]+", text):
+                word, ends = text.lower(), None
+            else:
+                word, ends = self.signs(text) if len(text) > SHORT else (None, None)
+            if word is not None:
+                most = len(word) if budget is None else max(budget - before, 0) * self.longest_token
+                counts = self.letters(word[:most])
+                return [before + counts[e] for e in (ends if ends is not None else
+                                                     range(len(counts))) if e < len(counts)]
+            cut = [text[:k] for k in range(len(text) + 1)]
+        return [before + len(e) for e in self.library.encode_batch_fast(
+            cut, add_special_tokens=False)]
+
+    def signs(self, text: str) -> tuple[str | None, list[int] | None]:
+        """The vocabulary's signs of a pre-token's bytes and how many its first 0, 1, …
+        characters have; None where characters are not normalised one by one."""
+        normal = self.library.normalizer.normalize_str
+        each = {c: "".join(self.sign[b] for b in normal(c).encode()) for c in set(text)}
+        word = "".join(map(each.__getitem__, text))
+        if word != "".join(self.sign[b] for b in normal(text).encode()):
+            return None, None
+        return word, np.cumsum([0, *(len(each[c]) for c in text)]).tolist()
 
     def letters(self, word: str) -> list[int]:
         """``count[p]`` and ``last[p]`` for unfinished prefixes; a finished prefix is one whose
@@ -120,10 +216,14 @@ class MergeTable:
         count, last, out = [0], [""], [0]
         for p in range(1, len(word) + 1):
             for mark in ("", self.end):
-                for size in range(min(p, self.longest), 0, -1):
+                sizes, size = [], 1
+                while size <= p and (tail := word[p - size:p] + mark) in self.tails:
+                    if tail in self.vocabulary:
+                        sizes.append(size)
+                    size += 1
+                for size in reversed(sizes):
                     token, before = word[p - size:p] + mark, last[p - size]
-                    if token in self.vocabulary and self.alone(token) \
-                            and (not before or self.adjacent(before, token)):
+                    if self.alone(token) and (not before or self.adjacent(before, token)):
                         break
                 else:
                     raise ValueError(f"no token ends prefix {p} of {word!r}")

@@ -1,6 +1,8 @@
 """Quality rules, token counts, token files, packing and language-model scores."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -130,6 +132,35 @@ def test_every_prefix_has_its_exact_count(texts):
             assert found.longest(budget) == max(k for k, n in enumerate(true) if n <= budget)
 
 
+def test_prefixes_of_awkward_texts():
+    """Accents that compose, characters that normalise to two, cut special strings."""
+    library, counter = tokenizer(WORD), token_counts.counter(WORD)
+    rng = random.Random(2)
+    signs = ["a", "B", "the", "é", "e\u0301", "日", "0", "😀", "!", "!!", "'", "'s", "'re", "=",
+             "<|endoftext|>", "<|", "|>", "\t", "\n", " ", "  ", "İ", "한", "\u1112", "\u1161",
+             "\u11ab", "\u0338", "xxxxx", "\xa0", "'ll"]
+    for n in range(600):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) * (1 + 7 * (n % 5 == 0))
+        found = counter.prefixes([text])[0]
+        true = [len(library.encode(text[:k], add_special_tokens=False))
+                for k in range(len(text) + 1)]
+        assert [found.at(k) for k in range(len(text) + 1)] == true, text
+        for budget in (0, 1, 3, 7, 20):
+            assert found.longest(budget) == max(k for k, c in enumerate(true) if c <= budget)
+
+
+@pytest.mark.parametrize("part", ["ab3", "日本語中文", "=", "é", "qZ9/+"])
+def test_long_texts_without_spaces_are_cut_in_time(part):
+    library, counter = tokenizer(WORD), token_counts.counter(WORD)
+    text = part * (100_000 // len(part))
+    found = counter.prefixes([text])[0]
+    start = time.process_time()
+    n = found.longest(2048)
+    assert time.process_time() - start < 10          # every prefix alone took minutes
+    count = lambda k: len(library.encode(text[:k], add_special_tokens=False))
+    assert count(n) <= 2048 and (n == len(text) or count(n + 1) > 2048)
+
+
 def test_pieces_give_the_ids_of_whole_texts(texts):
     odd = ["", " ", "  a", "a  b c", "a <|endoftext|> b", "\n\n a \n b", "tab\t x y", "ends  ",
            "a  b c", "a\x1c b \x1d c", "e ́x y"] + [t or "" for _, t in texts]
