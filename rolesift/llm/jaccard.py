@@ -15,9 +15,10 @@
    verified. Pairs within a component cannot change it and are not formed.
 5. Components of all verified links are found by alternating star contraction.
 
-Defined results: a null or empty text has no set, no links and its own id as component; other
-rows that share an id count as one document; null ids count as one document that sorts last; an empty
-table gives no rows; other columns are not read. Hashes have 64 bits (48 in verification).
+Defined results: a null or empty text has no set, no links and its own id as component; rows
+without an id or with a shared one are documents of their own, known by id and text, so only
+repeated rows are one; a component without any id has none; an empty table gives no rows; other
+columns are not read. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 
 from rolesift.llm.common import Words, bare, drop_staged, mix, slices, staged
 
-LAST_ID = 2**63 - 1
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -178,7 +177,7 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 continue
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= p * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(
@@ -192,16 +191,6 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return links
 
 
-def pack48(s: np.ndarray) -> bytes:
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.reshape(-1).view("<u8")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its smallest node.
 
@@ -235,11 +224,54 @@ def labelled(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
         "comp", F.coalesce("component", column)).drop("component")
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with one id per document, and (key, doc_id) of ids that had to be made.
+
+    A unique id is its own key. Rows with a null or shared id get keys outside the range of the
+    ids, one per id and text; these are made once and stored.
+    """
+    texts = bare(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    shared = staged(texts.groupBy("id").count().filter("id IS NULL OR count > 1").select(
+        F.col("id").alias("_id")), "shared-ids")
+    if shared.isEmpty():
+        return texts, None
+    low, high = texts.agg(F.min("id"), F.max("id")).first()
+    low, high = low or 0, high or 0
+    room = 2**62
+    if low < -room and high > room:
+        raise ValueError("ids leave no room for keys of rows without their own")
+    nth = F.monotonically_increasing_id() + 1
+    hashed = texts.withColumn("hash", F.md5("text"))
+    keys = staged(hashed.join(shared, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select(
+        F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct().withColumn(
+        "key", F.lit(low) - nth if low >= -room else F.lit(high) + nth), "keys")
+    own = hashed.join(keys, F.col("id").eqNullSafe(F.col("_id"))
+                      & F.col("hash").eqNullSafe(F.col("_hash")), "left")
+    return staged(own.select(F.coalesce("key", "id").alias("id"), "text"), "keyed-texts"), \
+        keys.select("key", F.col("_id").alias("doc_id"))
+
+
 def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text"
          ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    texts = bare(docs, id=id_col, text=text_col).withColumn(
-        "id", F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)))
+    texts, keys = keyed(docs, id_col, text_col)
+    return named(classed(texts, rule), keys).select("doc_id", "n_shingles", "component_id")
+
+
+def named(placed: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Ids in place of made keys; the smallest one of a component names it."""
+    if keys is None:
+        return placed.select("key", F.col("key").alias("doc_id"), "n_shingles", "component",
+                             F.col("component").alias("component_id"))
+    rows = placed.join(keys.withColumn("made", F.lit(True)), "key", "left").withColumn(
+        "doc_id", F.when(F.col("made"), F.col("doc_id")).otherwise(F.col("key"))).drop("made")
+    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "component").select("key", "doc_id", "n_shingles", "component",
+                                                "component_id")
+
+
+def classed(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(key, n_shingles, component) of every row of (id, text) with one id per document."""
     marks = staged(signatures(texts, rule), "signatures")
     same = ["n", "f1", "f2"]
     full = staged(marks.filter("n > 0").groupBy(*same, "prefix").agg(F.min("id").alias("rep")),
@@ -276,8 +308,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
         F.max(F.struct("count", -F.col("hub"))).alias("best")).select(
             F.col("pivot").alias("a"), (-F.col("best.col2")).alias("b"))
     first = first.union(members.filter("pivot <> rep").select("rep", "pivot"))
-    links = verify(staged(first.distinct(), "first-pairs"), texts, rule).union(
-        shared_ids(marks, classes))
+    links = verify(staged(first.distinct(), "first-pairs"), texts, rule)
     labels = components(links)
 
     rest = verify(staged(across(shared, members, labels, rule), "rest-pairs"), texts, rule)
@@ -288,25 +319,15 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
         F.min("comp").alias("comp"))
     placed = marks.select("id", *same).join(of_class, same, "left").withColumn(
         "comp", F.coalesce("comp", "id"))
-    return placed.select(
-        F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif("comp", F.lit(LAST_ID)).alias("component_id"))
-
-
-def shared_ids(marks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links from an id whose rows have different sets to the classes of these sets."""
-    several = marks.filter("n > 0").groupBy("id").agg(
-        F.min("f1").alias("x"), F.max("f1").alias("y")) \
-        .filter("x <> y").select("id")
-    return staged(marks.join(several, "id").join(classes, ["n", "f1", "f2"]).select(
-        F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "shared-ids")
+    return placed.select(F.col("id").alias("key"), F.col("n").alias("n_shingles"),
+                         F.col("comp").alias("component"))
 
 
 def whole_sets(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pack48(s) for s in sets(batch.column(1), rule.n)],
+                [batch.column(0), pa.array([s.tobytes() for s in sets(batch.column(1), rule.n)],
                                            pa.binary())], ["id", "elements"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
@@ -343,11 +364,25 @@ def across(shared: DataFrame, members: DataFrame, labels: DataFrame, rule: Rule)
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(n=5, percent=80), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; columns unchanged."""
-    kept = join(docs, rule, id_col, text_col).filter("doc_id <=> component_id").select(
-        F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id")).alias("_kept")).distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    key = F.coalesce(F.col("_row").getField(id_col).cast("long"), F.lit(LAST_ID))
-    only = row.join(kept, key == F.col("_kept.id"), "left_semi").withColumn("_id", key)
-    place = Window.partitionBy("_id").orderBy(F.col("_row").getField(text_col))
-    return only.withColumn("_n", F.row_number().over(place)).filter("_n = 1").select("_row.*")
+    """One document of each component, that with the smallest id; columns unchanged.
+
+    Rows that repeat id and text are one document, of which one row stays; among rows that share
+    the smallest id, and among rows without one, the least hash of the text decides.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    own_id = F.col("_row").getField(id_col).cast("long")
+    text = F.col("_row").getField(text_col)
+    texts, keys = keyed(docs, id_col, text_col)
+    placed = classed(texts, rule)
+    if keys is None:
+        kept = placed.filter("key = component").select(F.struct("key").alias("_kept"))
+        return rows.join(kept, own_id == F.col("_kept.key"), "left_semi").select("_row.*")
+    hashed = texts.select(F.col("id").alias("key"), F.md5("text").alias("hash")).distinct()
+    found = named(placed, keys).select("key", "doc_id", "component").distinct().join(hashed, "key")
+    best = found.groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("_kept"))
+    first = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    return rows.withColumns({"_id": own_id, "_hash": F.md5(text)}).join(
+        best.select("_kept"), F.col("_id").eqNullSafe(F.col("_kept.doc_id"))
+        & F.col("_hash").eqNullSafe(F.col("_kept.hash")), "left_semi").withColumn(
+        "_n", F.row_number().over(first)).filter("_n = 1").select("_row.*")

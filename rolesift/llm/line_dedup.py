@@ -12,13 +12,16 @@ Chunks that occur again anywhere in the corpus are candidates; candidates are gr
 SHA-256 digest of their bytes, and in each group all but the first occurrence (smallest id, then
 earliest line) are removed. Each line removed equals an earlier one, so one copy always stays.
 
+A document is known by its id and a hash of its text, so rows without an id or with a shared
+one keep their own spans, whatever other rows lose.
+
 Only built-in functions are used. Hashes and counts are shuffled first, then positions and
 digests of chunks; text moves once, for the documents that are rewritten. Partial aggregates
 collapse a chunk that a third of all documents share; joins on its hash are split at run time.
 
 Defined results: null text stays null, empty text stays empty; a text whose lines all go becomes
-empty; rows with the same id count as one document; null ids sort after all others and count as
-one document; an empty table stays empty. Chunks without a word are left alone. Result columns
+empty; rows with the same id and the same text count as one document and stay alike; null ids sort
+after all others; an empty table stays empty. Chunks without a word are left alone. Result columns
 are those of the input, whatever they are called.
 """
 
@@ -116,10 +119,17 @@ def number(start: Column, stop: Column) -> Column:
     return F.shiftleft(start.cast("long"), 32) + stop
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """Order and identity of a document: ids ascending, null last, then the text's hash."""
+    doc_id = doc_id.cast("long")
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"),
+                    F.xxhash64(text).alias("hash"))
+
+
 def repeats(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, start, size) of every chunk to remove."""
-    found = chunks(docs, rule, lambda x: F.unhex(F.sha2(x, 256))).withColumns({
-        "doc_id": F.coalesce("doc_id", F.lit(2**63 - 1)), "code": F.xxhash64("chunk")})
+    """(doc_id, start, size) of every chunk to remove; ``doc_id`` may be any key that sorts."""
+    found = chunks(docs, rule, lambda x: F.unhex(F.sha2(x, 256))).withColumn(
+        "code", F.xxhash64("chunk"))
     often = found.groupBy("code").count().filter("count > 1").select("code")
     candidates = staged(found.join(often, "code"), "chunk-candidates")
     # The digest decides; the code only spreads the groups.
@@ -133,14 +143,14 @@ def remove(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
            ) -> DataFrame:
     """The documents without repeated chunks; same columns, same rows."""
     narrow = bare(docs, doc_id=id_col, text=text_col).withColumn(
-        "doc_id", F.col("doc_id").cast("long"))
+        "doc_id", document_key(F.col("doc_id"), F.col("text")))
     # Chunks of one document: bounded by its lines.
     gone = repeats(narrow, rule).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "size")).alias("spans")).select(
             F.struct("doc_id", "spans").alias("_gone"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    key = F.coalesce(F.col("_row").getField(id_col).cast("long"), F.lit(2**63 - 1))
     text = F.col("_row").getField(text_col)
+    key = document_key(F.col("_row").getField(id_col), text)
 
     def rest(of: Column) -> Column:
         numbers = F.array_except(
