@@ -4,14 +4,16 @@ Words are runs, with A-Z lower-cased, of anything but white space and ASCII punc
 n-gram of a test item that is rare in the corpus: document frequencies of all item n-grams are
 counted over all documents first. Where a document holds a seed, the passage around it on the
 seed's diagonal is aligned with the item; the score is that of the best local alignment divided
-by that of the item with itself. Edits, insertions and omissions lower it, they do not end it.
+by that of the item with itself. Edits, insertions and omissions lower it, they do not end it. An
+excerpt of a long item may be a small share of it, so an alignment worth ``excerpt_words`` equal
+words in a row counts as well.
 
 The items are a stated set against which every document is tested. They are taken in blocks of a
 bounded number of words, each block a scan of the documents; nothing is shuffled but the counts
 of seeds and the rows found.
 
-Defined results: null or empty texts and items match nothing; items shorter than the n-gram are
-one seed of all their words; null and repeated ids pass through row by row; empty tables give no
+Defined results: null or empty texts and items match nothing; items shorter than the n-gram say
+too little inside a sentence and match only where they are all the words of a line; null and repeated ids pass through row by row; empty tables give no
 rows, and ``clean`` then returns the documents unchanged; other columns are not read.
 """
 
@@ -37,6 +39,8 @@ class Rule:
     n: int = 3
     #: Least score of a contaminated passage.
     threshold: float = 0.5
+    #: Or the score of so many consecutive equal words, whatever share of the item they are.
+    excerpt_words: int = 50
     #: A seed is rare if at most this share of documents has it, or if it is no more frequent
     #: than twice the median seed of its item (an item copied everywhere keeps its seeds).
     rare_share: float = 0.001
@@ -117,6 +121,8 @@ def local_score(item: np.ndarray, passage: np.ndarray, rule: Rule) -> tuple[int,
 def passages(words: Words, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, first word, last word + 1) around each group of seeds on near diagonals."""
     at, which = seeds.hits(words)
+    if not len(at):
+        return
     times = seeds.first[which + 1] - seeds.first[which]
     pick = np.repeat(seeds.first[which], times) + np.arange(times.sum()) - np.repeat(
         np.cumsum(times) - times, times)
@@ -140,33 +146,51 @@ def passages(words: Words, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
                min(int(diagonal[e] + size[i]) + pad, total))
 
 
+def fills_line(words: Words, row: int, first: int, size: int) -> bool:
+    """Whether a run of words, counted from the row's first one, is all of a line or more."""
+    begin, stop = words.first[row] + first, words.first[row] + first + size
+    before = words.buffer[words.end[begin - 1]:words.start[begin]] if first else [10]
+    after = words.buffer[words.end[stop - 1]:words.start[stop]] \
+        if stop < words.first[row + 1] else [10]
+    return 10 in before and 10 in after
+
+
 def best_matches(column: pa.Array, seeds: Seeds, rule: Rule) -> dict[tuple[int, int], tuple]:
-    """(row, item) -> (score, aligned, start, end) of the best passage at or over the threshold."""
+    """(row, item) -> (score, aligned, start, end) of the best passage that counts."""
     words, out = Words(column, PUNCTUATED, lower=True), {}
     for r, i, a, b in passages(words, seeds):
         item, first = seeds.items[i], words.first[r]
+        if len(item) < rule.n:
+            own = words.hash[first + a:first + b]
+            at = next((a + k for k in range(len(own) - len(item) + 1)
+                       if (own[k:k + len(item)] == item).all()
+                       and fills_line(words, r, a + k, len(item))), None)
+            if at is not None:
+                out.setdefault((r, i), (1.0, rule.match * len(item), at, at + len(item)))
+            continue
         raw, end = local_score(item, words.hash[first + a:first + b], rule)
         score = raw / (rule.match * len(item))
-        if score >= rule.threshold and score > out.get((r, i), (0,))[0]:
+        if (score >= rule.threshold or raw >= rule.match * rule.excerpt_words) \
+                and score > out.get((r, i), (0,))[0]:
             out[r, i] = (score, raw, a, a + end)
     return out
 
 
-def blocks(items: DataFrame, rule: Rule, id_col: str, text_col: str) -> list[tuple[list, Words]]:
-    """The items in blocks of bounded size, in the order of their ids."""
+def blocks(items: DataFrame, rule: Rule, id_col: str, text_col: str
+           ) -> Iterator[tuple[list, Words]]:
+    """The items in blocks of bounded size, in the order of their ids; one is held at a time."""
     rows = bare(items, item_id=id_col, text=text_col).dropDuplicates().orderBy("item_id", "text")
-    out, ids, texts, held = [], [], [], 0
+    ids, texts, held = [], [], 0
     for r in rows.toLocalIterator():
         n = len((r["text"] or "").split())
         if ids and held + n > rule.block_words:
-            out.append((ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)))
+            yield ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)
             ids, texts, held = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         held += n
     if ids:
-        out.append((ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)))
-    return out
+        yield ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)
 
 
 def rare_seeds(texts: DataFrame, ids: list, words: Words, rule: Rule) -> Seeds:
