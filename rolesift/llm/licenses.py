@@ -52,6 +52,10 @@ TEMPLATES = {
 }
 
 
+#: Starts the keys of rows without a path; no path holds it.
+NO_PATH = "\0"
+
+
 @dataclass(frozen=True)
 class Rule:
     threshold: float = 0.7
@@ -129,9 +133,12 @@ def scan(files: DataFrame, rule: Rule = Rule(), path_col: str = "path", text_col
          ) -> DataFrame:
     """(path, licence, how, cosine, licence_dir) of every row of ``files``."""
     files = bare(files, path=path_col, text=text_col)
-    own = staged(scan_notices(files, rule), "licences")
+    # A row without a path is known by its text alone.
+    files = files.withColumn("key", F.coalesce("path", F.concat(F.lit(NO_PATH), F.md5(
+        F.coalesce("text", F.lit(""))))))
+    own = staged(scan_notices(files.select(F.col("key").alias("path"), "text"), rule), "licences")
     name = F.regexp_replace("path", "^.*/", "")
-    speaking = own.filter(name.rlike(LICENCE_FILE)).groupBy(folder_of(F.col("path")).alias("dir")) \
+    speaking = own.filter(name.rlike(LICENCE_FILE) & ~F.startswith("path", F.lit(NO_PATH))).groupBy(folder_of(F.col("path")).alias("dir")) \
         .agg(F.min(F.struct((-F.col("cosine")).alias("rank"), "path", "licence")).alias("b")) \
         .select("dir", F.col("b.licence").alias("dir_licence"))
     folders = files.select(folder_of(F.col("path")).alias("folder")).filter(
@@ -144,10 +151,10 @@ def scan(files: DataFrame, rule: Rule = Rule(), path_col: str = "path", text_col
     nearest = above.join(spread, ["dir", "salt"]).groupBy("folder").agg(
         F.max(F.struct("depth", "dir", "dir_licence")).alias("n")).select(
             "folder", F.col("n.dir").alias("licence_dir"), F.col("n.dir_licence"))
-    rows = files.select("path", folder_of(F.col("path")).alias("f"))
+    rows = files.select("path", "key", folder_of(F.col("path")).alias("f"))
     mine = own.withColumnRenamed("path", "p")
     return rows.join(nearest, F.col("f") == F.col("folder"), "left").join(
-        mine, F.col("path").eqNullSafe(F.col("p")), "left").select(
+        mine, F.col("key") == F.col("p"), "left").select(
         "path", F.coalesce("licence", "dir_licence").alias("licence"),
         F.when(F.col("licence").isNotNull(), "notice").when(
             F.col("dir_licence").isNotNull(), "inherited").otherwise("none").alias("how"),

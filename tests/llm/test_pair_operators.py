@@ -50,7 +50,8 @@ def test_nearest_directory_speaks(spark):
         ("a/b/LICENSE", "Apache-2.0", "notice", None),
         ("a/b/c/d/y.c", "Apache-2.0", "inherited", "a/b"), ("a/b/z.c", "MIT", "notice", None),
         ("ab/q.c", "MIT", "inherited", ""), ("a/bb/r.c", "MIT", "inherited", ""),
-        (None, "MIT", "notice", None), ("e/n.c", "MIT", "inherited", "")}
+        (None, "MIT", "notice", None), (None, None, "none", None),
+        ("e/n.c", "MIT", "inherited", "")}
     assert licenses.scan(df).count() == len(files)
     assert licenses.scan(df.limit(0)).count() == 0
 
@@ -94,7 +95,7 @@ def leaks(spark):
     moved = words[3][:14] + ["some", "more", "words"] + words[3][14:]
     upper = re.sub("[a-z]", lambda m: m[0].upper(), items[0])
     bodies = {10: upper, 11: " ".join(edited), 12: "; ".join(gone), 13: " ".join(moved),
-              14: " ".join(words[4][:8]), 15: sentence(rng, 20), 17: "only two, Words!",
+              14: " ".join(words[4][:8]), 15: sentence(rng, 20), 17: "only two, Words!", 19: " Two words! ",
               18: " ".join([sentence(rng, 9000), items[0], sentence(rng, 9000)])}
     rows = [(i, f"{sentence(rng, 40)}\n{b}\n{sentence(rng, 40)}") for i, b in bodies.items()]
     rows += [(100 + i, sentence(rng, 120)) for i in range(40)] + [(1, None), (2, ""), (None, None)]
@@ -108,7 +109,7 @@ def test_edited_copies_are_found_and_clean_documents_left(leaks):
     docs, items = leaks
     found = {(r["doc_id"], r["item_id"]): r["score"] for r in
              decontaminate.find(docs, items).collect()}
-    assert set(found) == {(10, 0), (11, 1), (12, 2), (13, 3), (17, 6), (18, 0),
+    assert set(found) == {(10, 0), (11, 1), (12, 2), (13, 3), (18, 0), (19, 6),
                           *((500 + i, 5) for i in range(60))}
     assert found[10, 0] == 1 and found[18, 0] == 1 and 0.7 < found[11, 1] < 1
     small = decontaminate.Rule(block_words=40)
@@ -119,6 +120,39 @@ def test_edited_copies_are_found_and_clean_documents_left(leaks):
     assert kept.count() == docs.count() - len({d for d, _ in found})
 
 
+def test_every_pair_that_a_full_alignment_finds(leaks):
+    """Without seeds: each whole text against each item."""
+    docs, items = leaks
+    words = lambda t: [w.lower() for w in re.findall(
+        r"[^\x20\x09-\x0D\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", t or "")]
+    rule, want = decontaminate.Rule(), {}
+    number = defaultdict(lambda: len(number))
+    code = lambda t: np.array([number[w] for w in words(t)], np.int64)
+    for d in docs.filter("doc_id < 505").collect():
+        for i in items.filter("item_id < 6").collect():
+            item = code(i["text"])
+            raw, _ = decontaminate.local_score(item, code(d["text"]), rule)
+            if raw >= rule.threshold * rule.match * len(item):
+                want[d["doc_id"], i["item_id"]] = round(raw / (rule.match * len(item)), 6)
+    found = decontaminate.find(docs.filter("doc_id < 505"), items.filter("item_id < 6"))
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in found.collect()} == want
+
+
+def test_an_excerpt_of_a_long_item_and_ties(spark):
+    rng = random.Random(13)
+    item = sentence(rng, 400).split()
+    rows = [(1, f"{sentence(rng, 80)} {' '.join(item[120:270])} {sentence(rng, 80)}"),
+            (2, f"{sentence(rng, 80)} {' '.join(item[:30])} {sentence(rng, 80)}"),
+            (1, f"{sentence(rng, 80)} {' '.join(item[120:270])} {sentence(rng, 80)}"),
+            (None, " ".join(item[300:360]))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(item)), (9, " ".join(item)), (8, " ".join(item))],
+                                  "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, items).collect())
+    assert got == Counter({(1, 9): 4, (1, 8): 4, (None, 9): 2, (None, 8): 2})
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {2}
+
+
 def test_no_items_and_no_documents(leaks):
     docs, items = leaks
     assert decontaminate.find(docs, items.limit(0)).count() == 0
