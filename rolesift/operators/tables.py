@@ -169,6 +169,8 @@ SCORE_COLUMNS = [
     "watchlist_dream", "life_fit_concerns", "work_mode", "industries", "role_types",
     "qol_score", "qol_breakdown", "company_group", "engagement_type",
 ]
+#: Columns whose texts are searched while scoring.
+SCORED_TEXTS = ("title", "company", "description", "location")
 VERDICT_ONLY = ("semantic_score", "semantic_rationale", "semantic_scored_at",
                 "semantic_model", "role_family_match", "industry_match", "geography_match",
                 "level_match", "watchlist_dream", "life_fit_concerns")
@@ -186,17 +188,23 @@ def rescore(postings: DataFrame, verdicts: DataFrame, cfg: ScoringConfig, as_of:
 
     Rows refreshed within ``fresh_hours`` are skipped. Where a verdict was wanted but none
     is usable the stored row stays as it is. A missing new value never erases a stored one,
-    and stored verdict columns change only when there is a verdict.
+    and stored verdict columns change only when there is a verdict. Fresh rows go through the
+    same branch with their texts taken out, so the table is read once and nothing is looked for
+    in what will not be used.
     """
-    scored_at = F.col("semantic_scored_at")
-    stale = F.lit(True)
-    if fresh_hours is not None:
-        cutoff = as_of - F.make_dt_interval(hours=F.lit(fresh_hours))
-        stale = ~F.coalesce(scored_at > cutoff, F.lit(False))
     have = set(postings.columns)
     kept = [c for c in SCORE_COLUMNS if c in have]
-    base = postings.withColumn("_old", F.struct(*[F.col(c) for c in kept]))
-    todo = score_combined(base.where(stale), verdicts, cfg, as_of, companies, skip_verdicts)
+    base, fresh, texts = postings, None, []
+    if fresh_hours is not None:
+        cutoff = as_of - F.make_dt_interval(hours=F.lit(fresh_hours))
+        base = base.withColumn("_fresh", F.coalesce(F.col("semantic_scored_at") > cutoff,
+                                                    F.lit(False)))
+        fresh, texts = F.col("_fresh"), [c for c in SCORED_TEXTS if c in have]
+    base = base.withColumns({"_old": F.struct(*[F.col(c) for c in kept]),
+                             "_texts": F.struct(F.lit(0).alias("_none"), *texts)})
+    if texts:
+        base = base.withColumns({c: F.when(~fresh, F.col(c)) for c in texts})
+    todo = score_combined(base, verdicts, cfg, as_of, companies, skip_verdicts)
     todo = todo.withColumn("score_posted",
                            score_posted(F.col("score"), iso_z(F.col("posted_at"))))
     failed = F.col("verdict_state") == "missing"
@@ -205,19 +213,19 @@ def rescore(postings: DataFrame, verdicts: DataFrame, cfg: ScoringConfig, as_of:
     def value(c: str) -> Column:
         old = F.col(f"_old.{c}") if c in have else None
         new = F.when(got, F.col(c)) if c in VERDICT_ONLY else F.col(c)
-        if old is None:
-            return F.when(~failed, new)
-        return F.when(failed, old).otherwise(F.coalesce(new, old))
-
-    rest_columns = [c for c in postings.columns if c not in SCORE_COLUMNS]
-    done = todo.select(*rest_columns, *[value(c).alias(c) for c in SCORE_COLUMNS],
-                       F.when(failed, "api_failed").otherwise("updated").alias("outcome"),
-                       "verdict_state")
-    if fresh_hours is None:
-        return done
-    skipped = postings.where(~stale).withColumns({
-        "outcome": F.lit("skipped"), "verdict_state": F.lit("skipped")})
-    return done.unionByName(skipped, allowMissingColumns=True)
+        value = F.when(~failed, new) if old is None else \
+            F.when(failed, old).otherwise(F.coalesce(new, old))
+        if fresh is None:
+            return value
+        return F.when(~fresh, value) if old is None else F.when(fresh, old).otherwise(value)
+
+    rest = [F.col(f"_texts.{c}") if c in texts else F.col(c) for c in postings.columns
+            if c not in SCORE_COLUMNS]
+    outcome, state = F.when(failed, "api_failed").otherwise("updated"), F.col("verdict_state")
+    if fresh is not None:
+        outcome, state = (F.when(fresh, "skipped").otherwise(x) for x in (outcome, state))
+    return todo.select(*rest, *[value(c).alias(c) for c in SCORE_COLUMNS],
+                       outcome.alias("outcome"), state.alias("verdict_state"))
 
 
 # ---------------------------------------------------------------------------

@@ -85,3 +85,13 @@ def test_texts_are_built_once(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert optimized.count("AS text_lo#") == 1 and optimized.count("AS text_found#") == 1
+
+
+def test_rescore_of_stale_rows_reads_the_table_as_often_as_of_all_rows(spark):
+    from catalog.browse_queries import before_rescore
+    from catalog.sqlgen import SCORED_CFG
+    from rolesift.operators.tables import rescore
+    scans = [plan(rescore(before_rescore(spark, DIR), B.verdicts(spark, DIR), SCORED_CFG, B.as_of(),
+                          B.companies(spark, DIR), fresh_hours=hours)).count("FileScan")
+             for hours in (None, 24)]
+    assert scans[0] == scans[1]
