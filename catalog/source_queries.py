@@ -13,7 +13,7 @@ from rolesift.operators.companies import company_rows
 from rolesift.operators.combine import broadcast_if_small
 from rolesift.session import work_folder
 from rolesift.sources import archive as A
-from rolesift.sources.html_cards import anchor_cards, extract_cards
+from rolesift.sources.html_cards import Pick, anchor_cards, card_fields, extract_cards
 from rolesift.sources.specs import SPECS, normalize_posting, normalize_source, sheet_jobs
 from rolesift.streaming import ingest as ST
 from catalog import bindings as B
@@ -363,8 +363,14 @@ LOC_REMOTE = "CASE WHEN contains(lower(location), 'remote') THEN TRUE {} END"
 ONSITE = "WHEN contains(lower(location), 'on-site') THEN FALSE"
 
 
+#: Link, html and SQL of a card, by spec.
+CARDS: dict[str, tuple] = {}
+ORACLE_OF: dict[str, str] = {}
+
+
 def card(key: str, name: str, href, html, native: str, **over: str) -> None:
     """Query of a card spec: cards made from every posting, read back."""
+    CARDS[name] = (href, html)
     def run(s: SparkSession, d: str) -> DataFrame:
         p = B.postings(s, d)
         cards = p.select(href().alias("href"), c("url").alias("url"),
@@ -373,7 +379,8 @@ def card(key: str, name: str, href, html, native: str, **over: str) -> None:
         return out(normalize_source(cards, SPECS[name], B.as_of()))
     base = {"title": TITLE, "description": "''", "posted": "as_of",
             "where": "trim(title) <> ''"} | over
-    add(key, run, expected(native, name, **base), "params", "postings")
+    ORACLE_OF[name] = expected(native, name, **base)
+    add(key, run, ORACLE_OF[name], "params", "postings")
 
 
 def _path(prefix: str, tail: str = ""):
@@ -499,6 +506,38 @@ add("src_hn_thread", lambda s, d: _thread(s, d).select(
     f"""SELECT 'hnhiring:' || native_id AS job_id, company, title, location, remote
     FROM ({assign_sql(_COMMENT, 'NULL')})""", "postings")
 
+# --- pages to postings ----------------------------------------------------
+
+
+def _listing(s: SparkSession, d: str, name: str) -> DataFrame:
+    """Pages of ten cards, each in its container; every page also repeats the first ten cards."""
+    href, html = CARDS[name]
+    body = F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in html()])
+    cards = B.postings(s, d).select(
+        "k", F.concat(F.lit("<section class='hit new'><a href='"), href(), F.lit("'></a>"), body,
+                      F.lit("<br></section>")).alias("html"))
+    pages = cards.groupBy(F.expr("k div 10").alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("k", "html"))).alias("cards"))
+    whole = F.array_join(F.transform("cards", lambda e: e["html"]), "\n")
+    return pages.select("page_id", F.concat(F.lit("<html><body><div><p>open<div>"), whole,
+                                            F.lit("</span></div>"), whole).alias("html"))
+
+
+def pages_query(key: str, name: str) -> None:
+    box = Pick(tags=("section",), cls=r"\bhit\b")
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        fields = card_fields(_listing(s, d, name), box, "/", "https://example.com/jobs",
+                             SPECS[name].picks)
+        return normalize_source(fields, SPECS[name], B.as_of()).select("job_id", "title", "company",
+                                                                       "location")
+    add(key, run, f"SELECT job_id, title, company, location FROM ({ORACLE_OF[name]})",
+        "params", "postings")
+
+
+pages_query("pages_game_jobs_uk", "game_jobs_uk")
+pages_query("pages_games_career", "games_career")
+
 # --- streaming -------------------------------------------------------------
 
 

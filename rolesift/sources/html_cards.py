@@ -7,8 +7,10 @@ standard library parser inside an Arrow-batched UDF.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,15 +38,25 @@ class Pick:
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "texts", "start", "end")
+    """An element: its place in document order, where its elements and text pieces end, and its
+    characters in the source. Everything below it is a run of both lists."""
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children, self.texts, self.start, self.end = [], [], start, None
+    __slots__ = ("tag", "attrs", "parent", "children", "nth", "index", "last", "piece",
+                 "last_piece", "start", "end")
+
+    def __init__(self, tag, attrs, parent, index, piece, start):
+        self.tag, self.attrs, self.parent, self.index = tag, attrs, parent, index
+        self.children, self.nth = [], len(parent.children) if parent is not None else 0
+        self.piece, self.start = piece, start
+        self.last = self.last_piece = self.end = None
 
 
 class _Tree(HTMLParser):
-    """Flat list of elements with the text pieces below each."""
+    """Elements and text pieces of a page from one forward pass.
+
+    Each tag and each text costs the same however deep it lies: an end tag looks its element up
+    by name, and elements keep ranges of the two lists instead of lists of their own.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -52,47 +64,123 @@ class _Tree(HTMLParser):
         self.starts = [0]
         for line in html.split("\n"):
             self.starts.append(self.starts[-1] + len(line) + 1)
-        self.root = _Node("", {}, None, 0)
-        self.open, self.nodes = [self.root], []
+        self.root = _Node("", {}, None, -1, 0, 0)
+        self.open, self.open_by_tag = [self.root], {}
+        self.nodes, self.pieces = [], []
         self.feed(html)
         self.close()
+        for node in self.open:
+            node.last, node.last_piece = len(self.nodes), len(self.pieces)
+        self.blocks = [0, *accumulate(n.tag in BLOCKS for n in self.nodes)]
+        self.found: dict[int, list[int]] = {}
 
     def _at(self) -> int:
         line, col = self.getpos()
         return self.starts[line - 1] + col
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1], self._at())
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1], len(self.nodes),
+                     len(self.pieces), self._at())
         self.open[-1].children.append(node)
         self.nodes.append(node)
         if tag in VOID:
+            node.last, node.last_piece = node.index + 1, node.piece
             node.end = node.start + len(self.get_starttag_text() or "")
         else:
+            self.open_by_tag.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1, None)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                at = self._at()
-                end = self.source.find(">", at) + 1
-                for node in self.open[depth:]:
-                    node.end = end
-                del self.open[depth:]
-                return
+        if self.open_by_tag.get(tag):
+            self._close(self.open_by_tag[tag][-1], self.source.find(">", self._at()) + 1)
+
+    def _close(self, depth: int, end: int | None) -> None:
+        for node in self.open[depth:]:
+            node.last, node.last_piece, node.end = len(self.nodes), len(self.pieces), end
+            self.open_by_tag[node.tag].pop()
+        del self.open[depth:]
 
     def handle_data(self, data):
         piece = data.strip()
         if piece:
-            for node in self.open:
-                node.texts.append(piece)
-
-
-def _matches(node: _Node, pick: Pick) -> bool:
+            self.pieces.append(piece)
+
+    def hits(self, pick: "Pick") -> list[int]:
+        """Indexes of the elements that match, found once per page."""
+        if id(pick) not in self.found:
+            self.found[id(pick)] = [n.index for n in self.nodes if _matches(self, n, pick)]
+        return self.found[id(pick)]
+
+
+class _Scope:
+    """What a pick is read from: a whole page, or one card as if it were a page of its own."""
+
+    def __init__(self, tree: _Tree, card: _Node | None = None):
+        self.tree, self.card = tree, card
+        self.first, self.last = (0, len(tree.nodes)) if card is None else (card.index, card.last)
+        self.root = tree.root
+        if card is not None:
+            self.root = _Node("", {}, None, -1, card.piece, card.start)
+            self.root.last_piece, self.root.children = card.last_piece, [card]
+        self.above: dict[str, dict[int, _Node | None]] = {}
+
+    def parent(self, node: _Node) -> _Node:
+        return self.root if node is self.card or node.parent is self.tree.root else node.parent
+
+    def nearest(self, node: _Node, tag: str) -> _Node | None:
+        """Nearest element around ``node`` with the tag; ways up are walked once."""
+        known, way = self.above.setdefault(tag, {}), []
+        climb = self.parent(node)
+        while climb is not self.root and climb.tag != tag and climb.index not in known:
+            way.append(climb.index)
+            climb = self.parent(climb)
+        if climb is self.root:
+            result = None
+        else:
+            result = climb if climb.tag == tag else known[climb.index]
+        known.update(dict.fromkeys(way, result))
+        return result
+
+    def target(self, node: _Node, pick: "Pick") -> _Node | None:
+        if pick.up:
+            node = self.nearest(node, pick.up) or self.parent(node)
+        if pick.next_sibling and node is not self.root:
+            kin = self.parent(node).children
+            after = 1 if node is self.card else node.nth + 1
+            node = kin[after] if after < len(kin) else None
+        return node
+
+    def read(self, pick: "Pick"):
+        first, last = self.first, self.last
+        if pick.inside is not None:
+            holders = self.tree.hits(pick.inside)
+            at = bisect_left(holders, first)
+            if at == len(holders) or holders[at] >= last:
+                return [] if pick.many else None
+            holder = self.tree.nodes[holders[at]]
+            first, last = holder.index + 1, holder.last
+        hits, out = self.tree.hits(pick), []
+        for at in range(bisect_left(hits, first), len(hits)):
+            if hits[at] >= last:
+                break
+            node = self.target(self.tree.nodes[hits[at]], pick)
+            if node is None:
+                continue
+            raw = pick.sep.join(self.tree.pieces[node.piece:node.last_piece]) \
+                if pick.take == "text" else node.attrs.get(pick.take, "")
+            value = re.sub(r"\s+", " ", raw).strip()
+            if not pick.many:
+                return value
+            out.append(value)
+        return out if pick.many else None
+
+
+def _matches(tree: _Tree, node: _Node, pick: Pick) -> bool:
     if pick.tags and node.tag not in pick.tags:
         return False
     if pick.cls and not re.search(pick.cls, node.attrs.get("class", "")):
@@ -102,73 +190,19 @@ def _matches(node: _Node, pick: Pick) -> bool:
     for name, pattern in pick.attrs.items():
         if name not in node.attrs or not re.search(pattern, node.attrs[name], re.I):
             return False
-    return not (pick.leaf and _holds_block(node))
-
-
-def _holds_block(node: _Node) -> bool:
-    left = list(node.children)
-    while left:  # a stack of its own: pages nest deeper than Python calls may
-        child = left.pop()
-        if child.tag in BLOCKS:
-            return True
-        left += child.children
-    return False
-
-
-def _below(node: _Node, root: _Node) -> bool:
-    while node is not None:
-        if node is root:
-            return True
-        node = node.parent
-    return False
-
-
-def _target(node: _Node, pick: Pick) -> _Node | None:
-    if pick.up:
-        climb = node.parent
-        while climb is not None and climb.tag != pick.up:
-            climb = climb.parent
-        node = climb or node.parent
-    if pick.next_sibling and node is not None and node.parent is not None:
-        kin = node.parent.children
-        after = kin.index(node) + 1
-        node = kin[after] if after < len(kin) else None
-    return node
-
-
-def _read(tree: _Tree, pick: Pick):
-    scope = tree.root
-    if pick.inside is not None:
-        holders = [n for n in tree.nodes if _matches(n, pick.inside)]
-        if not holders:
-            return [] if pick.many else None
-        scope = holders[0]
-    out = []
-    for node in tree.nodes:
-        if not _matches(node, pick) or (pick.inside is not None
-                                        and not (_below(node, scope) and node is not scope)):
-            continue
-        node = _target(node, pick)
-        if node is None:
-            continue
-        raw = pick.sep.join(node.texts) if pick.take == "text" else node.attrs.get(pick.take, "")
-        value = re.sub(r"\s+", " ", raw).strip()
-        if not pick.many:
-            return value
-        out.append(value)
-    return out if pick.many else None
+    return not (pick.leaf and tree.blocks[node.last] > tree.blocks[node.index + 1])
 
 
 def html_fields(df: DataFrame, picks: dict[str, Pick], html: str = "html") -> DataFrame:
     """Add one column per pick, read from the card in ``html``."""
-    ddl = ", ".join(f"{n} {'array<string>' if p.many else 'string'}" for n, p in picks.items())
+    ddl = _ddl(picks)
 
     @F.pandas_udf(ddl)
     def read(cards: pd.Series) -> pd.DataFrame:
         rows = []
         for card in cards:
-            tree = _Tree(card or "")
-            rows.append([_read(tree, p) for p in picks.values()])
+            scope = _Scope(_Tree(card or ""))
+            rows.append([scope.read(p) for p in picks.values()])
         return pd.DataFrame(rows, columns=list(picks))
 
     # Not deterministic for the optimizer, so that a filter on a field does not read twice.
@@ -176,24 +210,38 @@ def html_fields(df: DataFrame, picks: dict[str, Pick], html: str = "html") -> Da
     return df.withColumn("_f", once(F.col(html))).select("*", "_f.*").drop("_f")
 
 
-def cut_cards(card: Pick, href: Pick) -> "Column":
-    """UDF cutting a page into array<struct<href, html>> of the matching elements."""
+def _ddl(picks: dict[str, Pick]) -> str:
+    return ", ".join(f"{n}: {'array<string>' if p.many else 'string'}" for n, p in picks.items())
+
+
+def cut_cards(card: Pick, href: Pick, picks: dict[str, Pick] | None = None,
+              keep_html: bool = True) -> "Column":
+    """UDF cutting a page into array<struct<href, html, …>> of the matching elements.
 
-    @F.pandas_udf("array<struct<href: string, html: string>>")
+    The link and the fields of ``picks`` are read from the same pass over the page; nothing is
+    parsed again. Without ``keep_html`` the html is null, and nested cards cost no copies.
+    """
+    picks = picks or {}
+    fields = f", f: struct<{_ddl(picks)}>" if picks else ""
+
+    @F.pandas_udf(f"array<struct<href: string, html: string{fields}>>")
     def cut(pages: pd.Series) -> pd.Series:
         def one(page):
             tree = _Tree(page or "")
             out = []
-            for node in tree.nodes:
-                if _matches(node, card):
-                    inner = page[node.start:node.end]
-                    link = node.attrs.get("href") if node.tag == "a" \
-                        else _read(_Tree(inner), href)
-                    out.append({"href": link, "html": inner})
+            for at in tree.hits(card):
+                node = tree.nodes[at]
+                scope = _Scope(tree, node)
+                link = node.attrs.get("href") if node.tag == "a" else scope.read(href)
+                row = {"href": link, "html": page[node.start:node.end] if keep_html else None}
+                if picks:
+                    row["f"] = {n: scope.read(p) for n, p in picks.items()}
+                out.append(row)
             return out
         return pages.map(one)
 
-    return cut
+    # Not deterministic for the optimizer, so that a filter on a field does not cut twice.
+    return cut.asNondeterministic()
 
 
 LINK = Pick(tags=("a",), attrs={"href": "."}, take="href")
@@ -206,13 +254,21 @@ def absolute_url(base: str, href: Column) -> Column:
         .otherwise(F.concat(host, F.lit("/"), href))
 
 
-ANCHOR = r"""(?s)<a\s[^>]*?href=["']([^"']*)["'][^>]*>.*?</a>"""
+ANCHOR = r"""<a\s[^>]*?href=["']([^"']*)["']"""
 
 
 def anchor_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Anchors of each page with position, by regular expression on the JVM."""
-    cards = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 1).alias("href"),
-                         F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 0).alias("html"))
+    """Anchors of each page with position, on the JVM.
+
+    The page is cut at closing tags; the first anchor with a link in a part is a card, up to the
+    part's end. So an anchor that is never closed costs its part and not the rest of the page.
+    """
+    parts = F.split(F.col(html), "</a>", -1)
+    bodies = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+                         lambda p: F.regexp_extract(p, f"(?s){ANCHOR}[^>]*>.*", 0))
+    cards = F.transform(F.filter(bodies, lambda b: b != ""), lambda b: F.struct(
+        F.regexp_extract(b, f"^{ANCHOR}", 1).alias("href"),
+        F.concat(b, F.lit("</a>")).alias("html")))
     kept = [c for c in pages.columns if c != html]
     return pages.select(*kept, F.posexplode(cards).alias("pos", "c")) \
         .select(*kept, "pos", F.col("c.href").alias("href"), F.col("c.html").alias("card_html"))
@@ -237,3 +293,21 @@ def extract_cards(pages: DataFrame, href_pattern: str, base: str, card: Pick | N
     first = links.groupBy("href").agg(
         F.min_by(F.struct(page_key, "pos", "card_html"), F.struct(page_key, "pos")).alias("c"))
     return first.select("href", absolute_url(base, F.col("href")).alias("url"), "c.*")
+
+
+def card_fields(pages: DataFrame, card: Pick, href_pattern: str, base: str,
+                picks: dict[str, Pick], page_key: str = "page_id", html: str = "html"
+                ) -> DataFrame:
+    """One row per distinct link with the fields of its card, from its first appearance.
+
+    Pages are parsed once, cards are not stored. Null and unfinished pages give the cards they have;
+    cards without a matching link are left out.
+    """
+    rows = pages.select(page_key, F.posexplode(cut_cards(card, LINK, picks, keep_html=False)(
+        F.col(html))).alias("pos", "c"))
+    links = rows.select(page_key, "pos", F.col("c.href").alias("href"), F.col("c.f").alias("f")) \
+        .where(F.col("href").rlike(href_pattern))
+    first = links.groupBy("href").agg(
+        F.min_by(F.struct(page_key, "pos", "f"), F.struct(page_key, "pos")).alias("c"))
+    return first.select("href", absolute_url(base, F.col("href")).alias("url"),
+                        F.col(f"c.{page_key}"), F.col("c.pos"), "c.f.*")

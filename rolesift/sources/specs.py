@@ -66,8 +66,9 @@ def raw_jobs(df: DataFrame, spec: SourceSpec) -> DataFrame:
             else F.col("p._company_meta")
         source = parsed.withColumn("_meta", meta)
         values = spec.fields(F.col("p"))
-    else:
-        source = html_fields(df, spec.picks, "card_html")
+    else:  # rows of ``card_fields`` have the fields already
+        read = set(spec.picks) <= set(df.columns)
+        source = df if read else html_fields(df, spec.picks, "card_html")
         values = spec.fields(F.lit(None))
     out = source.select(*_row(values))
     for name in spec.required:

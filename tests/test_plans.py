@@ -16,9 +16,14 @@ PYTHON = {"strip_html_full", "verdict_parse", "verdict_salvage", "src_working_no
           "src_weworkremotely", "src_bettingjobs", "src_hn_thread", "src_hitmarker",
           "src_wellfound", "src_wttj", "src_builtin", "src_fractional", "src_game_jobs_uk",
           "src_games_career", "src_games_jobs_direct", "src_gamesindustry", "src_ingamejob",
-          "src_outscal", "src_remote_game_jobs", "src_work_with_indies"}
+          "src_outscal", "src_remote_game_jobs", "src_work_with_indies", "pages_game_jobs_uk",
+          "pages_games_career"}
 ACTS = {"raw_archive_read", "raw_archive_write", "csv_sheet_scan", "src_sheet", "stream_ingest",
-        "stream_dedup"}
+        "stream_dedup", "stream_run_windows", "stream_late_runs", "raw_runs_replayed",
+        "raw_runs_expired", "rescore_resumed", "ingest_run", "ingest_rejected", "ingest_merged",
+        "search_index", "search_index_short", "index_by_company", "index_by_source",
+        "index_by_status", "index_by_track", "join_bucketed_left", "point_lookup_bucketed",
+        "join_substrings", "join_substrings_titles"}
 
 
 def plan(df) -> str:

@@ -1,7 +1,10 @@
 import json
+import random
 import re
+import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolesift.functions import thread as TH
@@ -9,7 +12,9 @@ from rolesift.operators.companies import company_rows
 from rolesift.plans.ingest import normalize_archive
 from rolesift.session import shared_folder
 from rolesift.sources import archive as A
-from rolesift.sources.html_cards import LINK, Pick, extract_cards, html_fields
+from rolesift.sources import html_cards
+from rolesift.sources.html_cards import (LINK, Pick, anchor_cards, cut_cards, extract_cards,
+                                         html_fields)
 from rolesift.sources.specs import SPECS, normalize_posting, normalize_source, sheet_jobs
 from rolesift.sources.thread import thread_jobs
 
@@ -135,6 +140,70 @@ def test_cards_are_cut_once_per_link(spark):
     assert plain.count() == 2
 
 
+PICKS = {"title": Pick(tags=("h3",)), "all": Pick(tags=("p", "b"), many=True),
+         "link": Pick(tags=("a",), take="href"), "leaf": Pick(tags=("div", "p"), leaf=True, many=True),
+         "kin": Pick(tags=("b",), next_sibling=True, many=True), "up": Pick(
+             tags=("b",), up="div", many=True), "in": Pick(tags=("b",), many=True, inside=Pick(
+                 tags=("p",)))}
+
+
+def random_html(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        tag = rng.choice(["div", "p", "b", "h3", "a", "br", "section"])
+        if tag == "br":
+            out.append("<br>")
+        elif depth > 4 or rng.random() < 0.3:
+            out.append(rng.choice(["text", " x &amp; y ", "1 < 2", ""]))
+        else:
+            cls = " class='box'" if tag == "section" else " href='/j/1'" if tag == "a" else ""
+            out.append(f"<{tag}{cls}>{random_html(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_fields_of_a_card_are_those_of_the_card_alone(spark):
+    rng = random.Random(3)
+    pages = [(i, random_html(rng)) for i in range(200)] + [
+        (900, None), (901, ""), (902, "<section class='box'><b>open <section class='box'><p>deep")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    cut = df.select("page_id", F.posexplode(cut_cards(
+        Pick(tags=("section",), cls="box"), LINK, PICKS)("html")).alias("pos", "c"))
+    rows = cut.select("page_id", "pos", "c.html", "c.f.*").collect()
+    alone = {(r["page_id"], r["pos"]): r for r in html_fields(
+        cut.select("page_id", "pos", F.col("c.html").alias("html")), PICKS).collect()}
+    assert len(rows) > 100
+    for r in rows:
+        assert [r[n] for n in PICKS] == [alone[r["page_id"], r["pos"]][n] for n in PICKS]
+
+
+@pytest.mark.parametrize("close", ["</i></div>", "", "</b>"])
+def test_deep_and_unclosed_pages_are_read_in_one_pass(close):
+    """5,000 and 20,000 levels: the time grows with the page, not with its square."""
+    seconds = []
+    for levels in (5_000, 20_000):
+        page = "".join(f"<div class='c'><i>t{k}<p>x" for k in range(levels)) + close * levels
+        start = time.process_time()
+        tree = html_cards._Tree(page)
+        scopes = [html_cards._Scope(tree, tree.nodes[k]) for k in tree.hits(CARD)]
+        got = [(s.read(PICKS["title"]), s.read(FIRST)) for s in scopes]
+        seconds.append(time.process_time() - start)
+        assert len(got) == levels and got[0] == (None, "c")
+    assert seconds[1] < 12 * seconds[0] + 1
+
+
+CARD, FIRST = Pick(tags=("div",), cls="c"), Pick(tags=("div",), take="class")
+
+
+def test_unclosed_anchors_do_not_rescan_the_page(spark):
+    html = "<a href='/1'>one</a> <a name='x'>no</a><a href='/2'>two <a href='/3'>in</a>" \
+        "<a href='/4'>open" + "<a href='/5'>x" * 20_000
+    df = spark.createDataFrame([(1, html), (2, "</a>"), (3, None), (4, "")],
+                               "page_id long, html string")
+    start = time.time()
+    got = [(r["page_id"], r["pos"], r["href"]) for r in anchor_cards(df).collect()]
+    assert got == [(1, 0, "/1"), (1, 1, "/2")] and time.time() - start < 30
+
+
 def test_lists_feeds_and_archive(spark):
     df = spark.createDataFrame([('{"jobs": [{"a": 1}, 2, "x", {"a": 3}]}',), ('[{"a": 4}]',),
                                 ('{"jobs": 5}',), ("{oops",)], "body string")
