@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,13 +113,22 @@ def text_phrases(cfg: ScoringConfig) -> list[str]:
     return [p for phrases in lists for p in phrases]
 
 
-def classify(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Add industries, role_types and company_group."""
+def classify(df: DataFrame, cfg: ScoringConfig, found_in: str | None = None) -> DataFrame:
+    """Add industries, role_types and company_group.
+
+    ``found_in``: column with the phrases of the full text, ``text_phrases`` among those looked
+    for. It keeps the separators of missing parts, which this text leaves out, so rows that lack a
+    part are read here.
+    """
     key = company_key(F.col("company_normalized"), F.col("company"))
-    text = build_text(F.col("title"), F.col("company"), F.col("description"))
+    parts = [F.col("title"), F.col("company"), F.col("description")]
+    text = find_phrases(build_text(*parts), text_phrases(cfg))
+    if found_in is not None:
+        whole = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit("")) != "" for c in parts])
+        text = F.when(whole, F.col(found_in)).otherwise(text)
     texts = df.withColumns({
         "_title": F.lower(text_or_empty(F.col("title"))),
-        "_text": find_phrases(text, text_phrases(cfg)),
+        "_text": text,
         "_key": key,
     })
     found = Found(F.col("_text"))
@@ -128,12 +139,13 @@ def classify(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     }).drop("_title", "_text", "_key")
 
 
-def with_classifiers(df: DataFrame, cfg: ScoringConfig, as_of: Column) -> DataFrame:
+def with_classifiers(df: DataFrame, cfg: ScoringConfig, as_of: Column,
+                     found_in: str | None = None) -> DataFrame:
     """Tags, quality of life and engagement. Quality of life reads the *stored* work mode,
     so it follows a new verdict one run later."""
     rules = [p for phrases in V.ENGAGEMENT_RULES.values() for p in phrases]
     perks = [p for phrases in cfg.qol_keywords.values() for p in phrases]
-    read = classify(df, cfg).withColumns({
+    read = classify(df, cfg, found_in).withColumns({
         "_in_title": find_phrases(padded(F.col("title")), rules),
         "_in_text": find_phrases(padded(F.col("description")), rules + perks),
     })

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,11 @@ def title_phrases(cfg: ScoringConfig) -> list[str]:
             *V.WARN_BELOW_VP, *cfg.positive_signals["senior_titles"]]
 
 
-def with_texts(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
+def with_texts(df: DataFrame, cfg: ScoringConfig, also: Sequence[str] = ()) -> DataFrame:
     """Lower-cased title, full text and place text, built once and read by every rule.
 
+    ``also``: phrases of other rules over the full text, looked for in the same pass.
+
     They sit in their own projection: the optimizer keeps a projection whose expensive
     columns are read more than once, so the concatenation is not repeated per phrase.
     """
@@ -44,7 +48,7 @@ def with_texts(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     })
     return out.withColumns({
         "function_hit": longest_phrase(F.col("title_lo"), cfg.function_titles),
-        "text_found": find_phrases(F.col("text_lo"), text_phrases(cfg)),
+        "text_found": find_phrases(F.col("text_lo"), [*text_phrases(cfg), *also]),
         "title_found": find_phrases(F.col("title_lo"), title_phrases(cfg)),
     })
 
@@ -136,15 +140,18 @@ def track(signals: Column, bucket: Column, cfg: ScoringConfig) -> Column:
             .otherwise("TRACK_1_FULLTIME"))
 
 
-def prefilter(df: DataFrame, cfg: ScoringConfig,
-              companies: DataFrame | None = None) -> DataFrame:
+def prefilter(df: DataFrame, cfg: ScoringConfig, companies: DataFrame | None = None,
+              also: Sequence[str] = (), found_as: str | None = None) -> DataFrame:
     """Add the verdict columns of the prefilter to every posting.
 
+    With ``found_as`` the phrases in the full text stay in that column, those of ``also`` among
+    them, so that other rules need not read the text again.
+
     Columns added: passed_prefilter, prefilter_reason, hard_disqualifiers, soft_warnings,
     positive_signals, industry, industry_score, track, location_flag, is_dream_company,
     is_hrc100, is_crunch_co, is_leadership_title.
     """
-    base = with_texts(with_company_facts(df, cfg, companies), cfg)
+    base = with_texts(with_company_facts(df, cfg, companies), cfg, also)
     t, x, found = F.col("title_lo"), F.col("text_lo"), Found(F.col("text_found"))
     first = base.withColumns({
         "_function": wrong_function(t, F.col("function_hit"), F.col("title_found"), cfg),
@@ -169,6 +176,8 @@ def prefilter(df: DataFrame, cfg: ScoringConfig,
     })
     third = second.withColumn("is_dream_company", F.col("map_industry").isNotNull()
                               & (F.col("industry_score") >= 9))
+    if found_as is not None:
+        third = third.withColumn(found_as, F.col("text_found"))
     return third.drop("_function", "_seniority", "_unpaid", *TEXTS, "company_key",
                       "map_industry", "is_equality_co", "is_crunch_listed",
                       "is_crunch_reduced")

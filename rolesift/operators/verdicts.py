@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from rolesift.config.model import ScoringConfig
 from rolesift.functions.text import any_of, computed_once, strip, text_or_empty
 from rolesift.operators import prefilter as pf
-from rolesift.operators.classify import with_classifiers
+from rolesift.operators.classify import text_phrases, with_classifiers
 from rolesift.operators.weighted import tier_from_score
 
 # Allowed values per field, in the order used for substring fallback.
@@ -321,7 +321,9 @@ def score_combined(df: DataFrame, verdicts: DataFrame, cfg: ScoringConfig, as_of
     'skipped' (not asked), 'missing' (asked, no usable reply) or 'scored'.
     """
     stale = [c for c in VERDICT_FIELDS if c in df.columns]
-    scored = with_classifiers(pf.prefilter(df.drop(*stale), cfg, companies), cfg, as_of)
+    # The full text is read once for the prefilter and the classifiers.
+    filtered = pf.prefilter(df.drop(*stale), cfg, companies, text_phrases(cfg), "_found")
+    scored = with_classifiers(filtered, cfg, as_of, "_found").drop("_found")
     passed = F.col("passed_prefilter")
     ask = cfg.verdicts_enabled and not skip_verdicts
     if ask:

@@ -206,3 +206,20 @@ def test_shards_partition_the_table(spark):
     ids = spark.range(500).selectExpr("concat('s:', id) AS job_id")
     parts = [{r[0] for r in shard(ids, i, 4).collect()} for i in range(4)]
     assert sum(map(len, parts)) == 500 == len(set().union(*parts))
+
+
+def test_classifiers_read_the_prefilters_text(spark):
+    """Shared or read anew, also where parts of the text are missing."""
+    rows = [(f"{n}", t, c, d) for n, (t, c, d) in enumerate(
+        (t, c, d) for t in ("VP of Product", "", None, "Data Analyst") for c in ("Acme Games", "", None)
+        for d in ("esports and live ops, fractional", "", None, "payments fintech"))]
+    df = spark.createDataFrame(rows, "job_id string, title string, company string, description string") \
+        .withColumns({"company_normalized": F.lower("company"), "company_tier": F.lit(None).cast("string"),
+                      "location": F.lit("NYC")})
+    alone = classify.classify(df, CFG)
+    shared = classify.classify(prefilter(df, CFG, None, classify.text_phrases(CFG), "_f"), CFG, "_f")
+    columns = ["job_id", "industries", "role_types", "company_group"]
+    assert sorted(alone.select(columns).collect()) == sorted(shared.select(columns).collect())
+    verdict = ["job_id", "prefilter_reason", "soft_warnings", "positive_signals", "industry", "track"]
+    assert sorted(prefilter(df, CFG).select(verdict).collect()) \
+        == sorted(shared.select(verdict).collect())
