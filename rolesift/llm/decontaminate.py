@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.llm.common import PUNCTUATED, Words, bare, slices
+from rolesift.llm.common import PUNCTUATED, Words, bare, slices, staged
 
 FOUND = ("doc_id long, item_id long, score double, aligned long, passage_start long, "
          "passage_end long")
@@ -178,19 +178,20 @@ def best_matches(column: pa.Array, seeds: Seeds, rule: Rule) -> dict[tuple[int,
 
 def blocks(items: DataFrame, rule: Rule, id_col: str, text_col: str
            ) -> Iterator[tuple[list, Words]]:
-    """The items in blocks of bounded size, in the order of their ids; one is held at a time."""
-    rows = bare(items, item_id=id_col, text=text_col).dropDuplicates().orderBy("item_id", "text")
-    ids, texts, held = [], [], 0
-    for r in rows.toLocalIterator():
-        n = len((r["text"] or "").split())
-        if ids and held + n > rule.block_words:
-            yield ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)
-            ids, texts, held = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        held += n
-    if ids:
-        yield ids, Words(pa.array(texts, pa.string()), PUNCTUATED, lower=True)
+    """The distinct items in blocks of about ``block_words`` words; the driver holds one at a time.
+
+    The items are stored with their block first: a block is then one small read of a table.
+    """
+    rows = bare(items, item_id=id_col, text=text_col).dropDuplicates()
+    rows = staged(rows.withColumn("words", F.regexp_count("text", F.lit(r"\S+"))), "items")
+    total = rows.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    n = max(1, -(-total // rule.block_words))
+    for k in range(n):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        part.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+        if part:
+            yield [r["item_id"] for r in part], Words(
+                pa.array([r["text"] for r in part], pa.string()), PUNCTUATED, lower=True)
 
 
 def rare_seeds(texts: DataFrame, ids: list, words: Words, rule: Rule) -> Seeds:
