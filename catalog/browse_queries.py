@@ -180,11 +180,15 @@ add("calibration_check", lambda s, d: VD.calibration(scored(s, d), B.postings(s,
 
 PAGE = ["job_id", "title", "company", "status", "source"]
 add("project_browse", lambda s, d: BR.project_browse(scored(s, d)).select(
-    "job_id", "title", "company", "company_group", _int("score"), _int("qol_score"), "track",
-    "engagement_type", "work_mode", _iso("posted_at"), "status", "source", "url"),
-    f"""SELECT job_id, title, company, company_group, CAST(score AS BIGINT) AS score, qol_score,
-    track, engagement_type, work_mode, {iso_sql('posted_at')} AS posted_at, status, source, url
-    FROM scored""", *SCORED)
+    "job_id", "title", "company", "company_normalized", "company_group", "company_tier",
+    _int("score"), _int("qol_score"), "track", "engagement_type", "work_mode",
+    joined("industries"), joined("role_types"), "salary_min", "salary_max", _iso("posted_at"),
+    _int("semantic_score"), "semantic_rationale", "status", "source", "location", "url"),
+    f"""SELECT job_id, title, company, company_normalized, company_group, company_tier,
+    CAST(score AS BIGINT) AS score, qol_score, track, engagement_type, work_mode, industries,
+    role_types, salary_min, salary_max, {iso_sql('posted_at')} AS posted_at,
+    CAST(semantic_score AS BIGINT) AS semantic_score, semantic_rationale, status, source, location,
+    url FROM scored""", *SCORED)
 add("project_index", lambda s, d: BR.project_index(B.postings(s, d).withColumn(
     "score", F.lit(0)), "company").select(
     "company_normalized", _iso("posted_at"), "job_id", "title", _int("score"), "status", "url"),
@@ -317,9 +321,10 @@ add("next_cursor", lambda s, d: BR.next_cursor(BR.paginate_cursor(_keyed(s, d),
     WHERE status = 'active' ORDER BY score_posted DESC, job_id LIMIT 50)
     ORDER BY score_posted, job_id DESC LIMIT 1""", "postings", "verdicts")
 add("hydrate_fields", lambda s, d: BR.hydrate_fields(
-    BR.project_index(_keyed(s, d).withColumn("track", F.lit("t")), "track"),
-    B.postings(s, d), ("work_mode",)).select("job_id", "score_posted", "work_mode"),
-    f"WITH {_KEYED} SELECT job_id, score_posted, work_mode FROM keyed", "postings", "verdicts")
+    scored(s, d).select("job_id", "track", _int("score")), scored(s, d)).select(
+    "job_id", "track", "score", "work_mode", "engagement_type"),
+    """SELECT job_id, track, CAST(score AS BIGINT) AS score, work_mode, engagement_type
+    FROM scored""", *SCORED)
 _BROWSE = BR.BrowseSpec(min_qol=20, work_modes=["remote", "hybrid"], min_salary=50000)
 add("browse", lambda s, d: BR.browse(scored(s, d), _BROWSE).select(
     "job_id", "title", "company", _int("score"), _int("qol_score"), "work_mode",
