@@ -43,6 +43,25 @@ def test_substrings_of_empty_tables(spark):
         SS.substring_matches(texts, spark.createDataFrame([("",)], "phrase string"), "id", "t")
 
 
+def test_substring_counts_by_ranges_without_shuffled_pairs(spark, monkeypatch):
+    monkeypatch.setattr(SS, "HELD_PHRASES", 40)
+    monkeypatch.setattr(SS, "BLOCK", 50)
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abé 😀") for _ in range(rng.randint(0, 40))))
+             for i in range(90)] + [(7, "ab abab"), (500, None)]
+    phrases = {"".join(rng.choice("abé 😀") for _ in range(rng.randint(1, 7))) for _ in range(200)}
+    df = SS.substring_counts(spark.createDataFrame(texts, "id long, t string"),
+                             spark.createDataFrame([(p,) for p in phrases], "phrase string"),
+                             "id", "t")
+    want = {p: [i for i, t in texts if t and p in t] for p in phrases}
+    assert {tuple(r) for r in df.select("phrase", "texts", "first").collect()} == {
+        (p, len(i), min(i)) for p, i in want.items() if i}
+    # Counts combine below the only shuffle of a range.
+    text = plan(df)
+    assert "Union" in text and "Join" not in text
+    assert text.count("Exchange") == text.count("partial_count")
+
+
 def test_substring_join_is_an_equality_join(spark):
     df = SS.substring_matches(
         B.table(spark, DIR, "documents"),
