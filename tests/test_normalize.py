@@ -107,3 +107,10 @@ def test_html(values):
     assert values("h string", [("<p>1 &lt; 2 &eacute; &#233;</p>",), (None,)],
                   strip_html_full(F.col("h"))) == ["1 < 2 é é", ""]
     assert values("h string", [("ﬁn Ａ é",)], fold_nfkd(F.col("h"))) == ["fin A e"]
+
+
+def test_html_entities_without_semicolon(values):
+    page = "<h1>A&amp;&amp</h1>&lt;b&copy; &#233; &amp;lt; &notit; &nosuch;"
+    assert values("h string", [(page,), (None,)], strip_html_full(
+        F.col("h"), closed_only=True)) == ["A&&amp <b© é &lt; &notit; &nosuch;", ""]
+    assert values("h string", [("A &amp",)], strip_html_full(F.col("h"))) == ["A &"]
