@@ -100,3 +100,9 @@ def test_rescore_of_stale_rows_reads_the_table_as_often_as_of_all_rows(spark):
                           B.companies(spark, DIR), fresh_hours=hours)).count("FileScan")
              for hours in (None, 24)]
     assert scans[0] == scans[1]
+
+
+def test_track_filter_does_not_compute_the_track_again(spark):
+    text = QUERIES["postings_by_track"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("TRACK_2_INTERIM" in line for line in filters)
