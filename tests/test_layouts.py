@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalog import bindings as B
@@ -62,6 +63,16 @@ def test_substring_counts_by_ranges_without_shuffled_pairs(spark, monkeypatch):
     assert text.count("Exchange") == text.count("partial_count")
 
 
+def test_a_handful_of_phrases_is_matched_where_texts_are_read(spark):
+    rows = [(i, f"lead ({i}) of vp") for i in range(50)] + [(3, "of zz"), (None, "of"), (60, None)]
+    df = SS.substring_matches(spark.createDataFrame(rows, "id long, t string"),
+                              spark.createDataFrame([(" of ",), ("of",), ("3)",), (None,)],
+                                                    "phrase string"), "id", "t")
+    assert "Join" not in plan(df)
+    assert sorted(map(str, df.collect())) == sorted(str(Row(id=i, phrase=p)) for i, p in {
+        (i, p) for i, t in rows if t for p in (" of ", "of", "3)") if p in t})
+
+
 def test_substring_join_is_an_equality_join(spark):
     df = SS.substring_matches(
         B.table(spark, DIR, "documents"),
