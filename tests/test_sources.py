@@ -4,6 +4,7 @@ import re
 import time
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,13 @@ def test_segment_tests(values):
                    (False, False, True),
                    (False, False, True), (False, False, False), (False, False, False),
                    (False, True, False)]
+
+
+def test_cards_of_a_large_batch_are_not_held_together(spark):
+    pages = pd.Series([f"<a href='/jobs/{i}'>x</a>" for i in range(500)] + [None])
+    cut = cut_cards(LINK, LINK, keep_html=False).func(iter([pages, pages[:0]]))
+    parts = [next(cut)]
+    assert len(parts[0]) < 100
+    parts.extend(cut)
+    links = [[c["href"] for c in cards] for part in parts for cards in part]
+    assert links == [[f"/jobs/{i}"] for i in range(500)] + [[]]
