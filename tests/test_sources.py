@@ -283,3 +283,49 @@ def test_cards_of_a_large_batch_are_not_held_together(spark):
     parts.extend(cut)
     links = [[c["href"] for c in cards] for part in parts for cards in part]
     assert links == [[f"/jobs/{i}"] for i in range(500)] + [[]]
+
+
+ODD = ["<!-- note -->", "<!DOCTYPE html>", "<!-- a > b -->", "<br/>", "<p/>", "<IMG Alt='A&amp;b' x>",
+       "<a href=/j>", "<div class = 'c'>", "<i a='1'b='2'>", "<b x='>'>", "</ p >", "</p x>", "</>", "&lt;",
+       "&am", "a<b", "<script>if (a<b) '</p>'</script>", "<title>x<b></title>", "<?php x ?>", "<",
+       "<span", "<a href='x", "\r\n", "\x1f", "<p\x00>", "<em\n title=\"q\" />"]
+
+
+def test_plain_pages_are_read_as_the_library_reads_them(monkeypatch):
+    """Marks cut from plain pages against the standard parser, odd markup included."""
+    def seen(page):
+        tree = html_cards._Tree(page)
+        return ([(m.tag, m.attrs) for m in tree.marks], tree.parent, tree.start, tree.end, tree.last,
+                tree.piece, tree.last_piece, tree.pieces)
+
+    rng, pages, plain = random.Random(5), [], []
+    for n in range(1500):
+        cut = random_html(rng).replace("1 < 2", "1 &lt; 2")
+        for _ in range(n % 3):
+            at = rng.randrange(len(cut) + 1)
+            cut = cut[:at] + rng.choice(ODD) + cut[at:]
+        pages.append(cut)
+    fast = html_cards._Tree._plain
+    monkeypatch.setattr(html_cards._Tree, "_plain",
+                        lambda tree, page: plain.append(fast(tree, page)) or plain[-1])
+    got = [seen(page) for page in pages]
+    assert sum(plain) > 500 and not all(plain)
+    monkeypatch.setattr(html_cards._Tree, "_plain", lambda tree, page: False)
+    for page, value in zip(pages, got):
+        assert seen(page) == value, page
+
+
+def test_a_plain_page_costs_no_parser(monkeypatch):
+    monkeypatch.setattr(html_cards, "_Parser", None)
+    tree = html_cards._Tree("<html><div class='c'><p>a &amp; b<br></div></html>")
+    assert tree.pieces == ["a & b"] and tree.hits(CARD) == [1]
+
+
+def test_repeated_links_keep_the_place_of_their_first_card(spark):
+    page = "<div class='c'><a href='/1'></a><p>x</p></div>" \
+        "<div class='c'>none</div><div class='c'><a href='/1'></a><p>y</p></div>" \
+        "<div class='c'><a href='/2'></a></div>"
+    df = spark.createDataFrame([(7, page), (8, page), (9, None)], "page_id long, html string")
+    got = html_cards.card_fields(df, CARD, "/", "https://x.io", {"p": Pick(tags=("p",))}).collect()
+    assert sorted((r["page_id"], r["pos"], r["href"], r["p"]) for r in got) == [
+        (7, 0, "/1", "x"), (7, 3, "/2", None)]
