@@ -108,6 +108,31 @@ def test_index_search_reads_few_folders(spark, index):
     assert lists.where("part IN (1, 2)").count() < lists.count() / 4
 
 
+def test_gram_lists_equal_sets_of_grams():
+    rng = random.Random(4)
+    texts = ["", "ab", "abcabc", "new york\nnew", "\U0001F600\u00e9x\0y" * 2] + [
+        "".join(rng.choices("ab \u4e2d\U0001F600", k=rng.randint(0, 30))) for _ in range(300)]
+    texts.append("".join(chr(0x100 + i) for i in range(20_000)))
+    for q in (1, 2, 3, 7):
+        got = dict()
+        found, ends, places = SS._gram_lists(texts, q)
+        for gram, low, high in zip(found, [0, *ends], ends):
+            got[gram] = places[low:high].tolist()
+        want = {}
+        for n, text in enumerate(texts):
+            for gram in {text[i:i + q] for i in range(len(text) - q + 1)}:
+                want.setdefault(gram, []).append(n)
+        assert got == want
+
+
+def test_index_shuffles_lists_and_not_entries(spark, index):
+    root, rows = index
+    lists = spark.read.parquet(f"{root}/grams")
+    entries = sum(len({t[i:i + 3] for i in range(len(t) - 2)}) for _, t in rows if t)
+    assert lists.agg(F.sum(F.size("places"))).first()[0] == entries and "id" not in lists.columns
+    assert lists.count() < entries / 2
+
+
 def scanned(df, metric="numFiles"):
     """A metric of the scan after the query has run."""
     df.collect()
