@@ -133,6 +133,19 @@ def test_a_shard_reads_its_own_directory(spark, postings, tmp_path):
     assert all("PartitionFilters: [isnotnull(shard" in p for p in seen) and len(seen) == 5
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = normalize_source(spark.range(0, 4000, 1, 8).select(F.to_json(F.struct(
+        "id", F.sha2(F.col("id").cast("string"), 512).alias("title"), F.lit("A").alias("company")))
+        .alias("payload")), SPECS["remoteok"], F.lit(datetime(2026, 4, 20)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ST.merge_into_buckets(rows, str(tmp_path), buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(f"{tmp_path}/table").inputFiles()) > 1
+    assert ST.read_merged(spark, str(tmp_path)).select("job_id").distinct().count() == 4000
+
+
 RUNS = "source_name string, run_timestamp timestamp, jobs_new int, jobs_updated int"
 
 
