@@ -145,10 +145,11 @@ def _resumed(s: SparkSession, d: str) -> DataFrame:
     """A rescore pass that stops after one of three shards and is started again."""
     root = folder(s)
     SH.write_shards(before_rescore(s, d), root, 3)
+    SH.write_shards(B.verdicts(s, d), root, 3, "verdicts")
     for stop in (1, None):
-        SH.run_shards(s, root, lambda rows: rescored(s, d, rows).select(
+        SH.run_shards(s, root, lambda rows, verdicts: rescored(s, d, rows, verdicts).select(
             "job_id", "outcome", c("score").cast("bigint").alias("score"), "tier", "track",
-            c("semantic_score").cast("bigint").alias("semantic_score")), stop)
+            c("semantic_score").cast("bigint").alias("semantic_score")), stop, ("verdicts",))
     return SH.read_finished(s, root)
 
 

@@ -17,11 +17,12 @@ from rolesift.session import path_exists
 DONE = "shard int, rows long"
 
 
-def write_shards(postings: DataFrame, root: str, of: int) -> None:
-    """Deal the postings into ``of`` shards; null ids share one."""
+def write_shards(postings: DataFrame, root: str, of: int, name: str = "input") -> None:
+    """Deal the postings into ``of`` shards; null ids share one. Other tables by job_id that the work
+    joins are dealt alike under a ``name`` of their own."""
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("job_id"), F.lit(of)).cast("int"))
     dealt.repartition("shard", F.pmod(F.xxhash64("job_id"), F.lit(of * 4))) \
-        .write.partitionBy("shard").parquet(f"{root}/input")
+        .write.partitionBy("shard").parquet(f"{root}/{name}")
 
 
 def finished(spark: SparkSession, root: str) -> DataFrame:
@@ -38,18 +39,20 @@ def unfinished(spark: SparkSession, root: str) -> list[int]:
     return sorted(r[0] for r in shards.join(finished(spark, root), "shard", "left_anti").collect())
 
 
-def run_shards(spark: SparkSession, root: str, work: Callable[[DataFrame], DataFrame],
-               stop_after: int | None = None) -> list[int]:
+def run_shards(spark: SparkSession, root: str, work: Callable[..., DataFrame],
+               stop_after: int | None = None, beside: tuple[str, ...] = ()) -> list[int]:
     """Apply ``work`` to every unfinished shard in turn and return these shards.
 
     A shard is one Spark job that reads its own directory. Its output replaces what a broken
-    attempt may have left. ``stop_after`` ends the pass early, as a time limit would.
+    attempt may have left. ``stop_after`` ends the pass early, as a time limit would. ``work`` also gets the same shard of
+    each table named in ``beside``, so no shard reads or joins a whole table.
     """
     todo = unfinished(spark, root)[:stop_after]
     for shard in todo:
-        rows = spark.read.parquet(f"{root}/input").where(F.col("shard") == shard).drop("shard")
+        tables = [spark.read.parquet(f"{root}/{name}").where(F.col("shard") == shard).drop("shard")
+                  for name in ("input", *beside)]
         path = f"{root}/output/shard={shard}"
-        work(rows).write.mode("overwrite").parquet(path)
+        work(*tables).write.mode("overwrite").parquet(path)
         spark.read.parquet(path).agg(F.lit(shard).alias("shard"), F.count(F.lit(1)).alias("rows")) \
             .write.mode("append").json(f"{root}/ledger")
     return todo

@@ -133,6 +133,23 @@ def test_a_shard_reads_its_own_directory(spark, postings, tmp_path):
     assert all("PartitionFilters: [isnotnull(shard" in p for p in seen) and len(seen) == 5
 
 
+def test_a_shard_joins_its_own_part_of_a_table_beside(spark, postings, tmp_path):
+    root, seen = str(tmp_path), []
+    other = spark.range(100).select(F.concat(F.lit("j"), "id").alias("job_id"), (-F.col("id")).alias("n"))
+    SH.write_shards(postings, root, 4)
+    SH.write_shards(other, root, 4, "other")
+
+    def work(rows, beside):
+        seen.append(beside.count())
+        return rows.join(beside, "job_id", "left")
+
+    SH.run_shards(spark, root, work, beside=("other",))
+    assert sum(seen) == 100 and max(seen) < 100
+    got = Counter(tuple(r) for r in SH.read_finished(spark, root).select("job_id", "id", "n").collect())
+    assert got == Counter(tuple(r) for r in postings.join(other, "job_id", "left")
+                          .select("job_id", "id", "n").collect())
+
+
 def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     rows = normalize_source(spark.range(0, 4000, 1, 8).select(F.to_json(F.struct(
         "id", F.sha2(F.col("id").cast("string"), 512).alias("title"), F.lit("A").alias("company")))
