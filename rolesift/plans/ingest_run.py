@@ -2,10 +2,10 @@
 
 The run reads its payloads once. Every payload gets a ``kind``: a posting, a skipped one (the
 source's required fields are empty, which is no error) or a rejected one (it cannot be read, or no
-spec knows its source). One job writes all three, each into its own partition, and
-``DataFrame.observe`` counts them per source on the way. The merge into the table is the second
-job and counts the new postings; what was accepted and is not new was an update, also where one run
-delivers a posting twice.
+spec knows its source). One job writes all three, each into its own partition; the merge into
+the table is the second job. The ledger counts what was stored, from the few columns that say where
+a row came from. What was accepted and is not new was an update, also where one run delivers a
+posting twice.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.operators.combine import union_sources
@@ -71,17 +71,12 @@ def tag_payloads(raw: DataFrame, as_of: Column, specs: dict[str, SourceSpec]
     return tagged.withColumn("payload", F.when(F.col("kind") != POSTING, F.col("payload"))), failed
 
 
-def _counters(names: list[str]) -> list[Column]:
+def _counted(items: DataFrame) -> dict[str, dict]:
     """Per source: rows of each kind and the least message of a rejected one."""
-    out = []
-    for i, name in enumerate(names):
-        mine = F.col("source").eqNullSafe(F.lit(name)) if name != UNKNOWN_SOURCE \
-            else ~F.col("source").isin([n for n in names if n != UNKNOWN_SOURCE])
-        for kind in (POSTING, SKIPPED, REJECTED):
-            out.append(F.count_if(mine & (F.col("kind") == kind)).alias(f"{kind}_{i}"))
-        out.append(F.min(F.when(mine & (F.col("kind") == REJECTED), F.col("reason")))
-                   .alias(f"message_{i}"))
-    return out
+    rows = items.groupBy("source").agg(
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in (POSTING, SKIPPED, REJECTED)],
+        F.min(F.when(F.col("kind") == REJECTED, F.col("reason"))).alias("message"))
+    return {r["source"]: r.asDict() for r in rows.collect()}
 
 
 def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | None = None,
@@ -89,7 +84,7 @@ def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | N
                duration_ms: int | None = None) -> IngestRun:
     """Land one run under ``root`` (a new folder below the shared one by default).
 
-    Two jobs run before this returns, one for the items and one for the merged table. A source
+    Two jobs write, one the items and one the merged table; two more count what they wrote. A source
     named in ``fetch_errors`` gets status ``error``, as does one whose plan cannot be built; one
     with rejected payloads is ``partial``. Every source has one ledger row, also with no payload.
     """
@@ -99,8 +94,7 @@ def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | N
     tagged, failed = tag_payloads(raw, as_of, specs)
     failed = {**failed, **(fetch_errors or {})}
     names = [*dict.fromkeys([*specs, *failed]), UNKNOWN_SOURCE]
-    landed, merge = Observation("landed"), Observation("merged")
-    tagged.observe(landed, *_counters(names)).write.partitionBy("kind").parquet(f"{root}/items")
+    tagged.write.partitionBy("kind").parquet(f"{root}/items")
     items = spark.read.schema(tagged.schema).parquet(f"{root}/items")
 
     def of(kind: str) -> DataFrame:
@@ -108,27 +102,32 @@ def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | N
 
     postings = of(POSTING).drop(*ABOUT)
     merged = upsert_postings(existing, postings)
-    new = [F.count_if((F.col("change") == "new") & (F.col("source") == n)).alias(f"new_{i}")
-           for i, n in enumerate(names)]
-    merged.observe(merge, *new).write.parquet(f"{root}/table")
-    ledger = _ledger(spark, names, landed.get, merge.get, failed, as_of, duration_ms)
+    merged.write.parquet(f"{root}/table")
+    table = spark.read.schema(merged.schema).parquet(f"{root}/table")
+    # Sources nobody knows share one entry, so the list stays as long as the specs.
+    source = F.col("source")
+    named = F.when(source.isin([n for n in names if n != UNKNOWN_SOURCE]), source) \
+        .otherwise(UNKNOWN_SOURCE).alias("source")
+    new = table.where("change = 'new'").select(named).groupBy("source").count().collect()
+    ledger = _ledger(spark, names, _counted(items.select(named, "kind", "reason")),
+                     {r["source"]: r["count"] for r in new}, failed, as_of, duration_ms)
     return IngestRun(postings, of(SKIPPED).select("source", *ABOUT),
-                     of(REJECTED).select("source", *ABOUT), ledger,
-                     spark.read.schema(merged.schema).parquet(f"{root}/table"))
+                     of(REJECTED).select("source", *ABOUT), ledger, table)
 
 
-def _ledger(spark: SparkSession, names: list[str], landed: dict, merged: dict,
+def _ledger(spark: SparkSession, names: list[str], landed: dict[str, dict], merged: dict[str, int],
             failed: dict[str, str], as_of: Column, duration_ms: int | None) -> DataFrame:
     """One row per source, a list as long as the specs; unknown sources only where met."""
     rows = []
-    for i, name in enumerate(names):
-        good, skipped, bad = (landed[f"{kind}_{i}"] for kind in (POSTING, SKIPPED, REJECTED))
+    for name in names:
+        found, new = landed.get(name, {}), merged.get(name, 0)
+        good, skipped, bad = (found.get(kind, 0) for kind in (POSTING, SKIPPED, REJECTED))
         if name == UNKNOWN_SOURCE and not bad:
             continue
         status = "error" if name in failed else "partial" if bad else "ok"
-        rows.append((name, status, good + skipped + bad, merged[f"new_{i}"],
-                     good - merged[f"new_{i}"], skipped, bad + (name in failed), duration_ms,
-                     failed.get(name) or landed[f"message_{i}"]))
+        rows.append((name, status, good + skipped + bad, new, good - new, skipped,
+                     bad + (name in failed), duration_ms,
+                     failed.get(name) or found.get("message")))
     ddl = ("source_name string, status string, jobs_found long, jobs_new long, jobs_updated long, "
            "jobs_skipped long, n_errors long, duration_ms long, error_message string")
     ttl = F.unix_timestamp(as_of) + F.lit(RUN_TTL_DAYS * 86_400)

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.plans.ingest_run import LEDGER, ingest_run, tag_payloads
+from rolesift.plans.ingest_run import LEDGER, _counted, ingest_run, tag_payloads
 from rolesift.sources import archive as A
 from rolesift.sources.specs import EMPTY, MALFORMED, SPECS, SourceSpec
 
@@ -108,3 +108,12 @@ def test_an_empty_run(spark, nothing):
     assert {r["source_name"]: (r["status"], r["jobs_found"]) for r in run.ledger.collect()} == {
         "remoteok": ("ok", 0), "himalayas": ("ok", 0)}
     assert run.merged.count() == run.rejected.count() == 0
+
+
+def test_counts_come_from_what_was_stored(spark):
+    items = spark.createDataFrame([("a", "posting", None), ("a", "rejected", "y"),
+                                   ("a", "rejected", "x"), ("b", "skipped", "incomplete: title")],
+                                  "source string, kind string, reason string")
+    assert _counted(items) == {
+        "a": {"source": "a", "posting": 1, "skipped": 0, "rejected": 2, "message": "x"},
+        "b": {"source": "b", "posting": 0, "skipped": 1, "rejected": 0, "message": None}}
