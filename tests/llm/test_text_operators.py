@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolesift.llm import packing, pseudo_lm, quality, token_counts, token_files
 from rolesift.llm.common import Words
-from rolesift.llm.tokens import spaced_ids, tokenizer
+from rolesift.llm.tokens import SpacedIds, spaced_ids, tokenizer
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -168,6 +168,30 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1].tolist()
 
 
+def test_words_are_encoded_once_whatever_closes_them(monkeypatch):
+    class Counting:
+        def __init__(self, library):
+            self.library, self.words = library, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += sum(len(t.split()) for t in texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr("rolesift.llm.tokens.CACHE_ENTRIES", 500)
+    words = [f"w{chr(97 + i % 26)}{'xyz'[i % 3]}{i}" for i in range(300)]
+    closed = [w + end for end in ("", ",", ".", "$$$", "?!") for w in words]
+    odd = ["...", "don't.", "²,", "漢.", "a<|endoftext|>.", "é;x:", "$", "a  b.", "\nb,", "_."]
+    texts = [" ".join(["head", *closed]), " ".join(["head.", *odd, *closed[::7]]), None, "",
+             "x\ny, z.\nw!", *odd]
+    encoder = SpacedIds(BYTE)
+    encoder.library = counting = Counting(encoder.library)
+    for _ in range(3):
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1].tolist()
+        texts.reverse()
+        assert counting.words < 3 * len(words)      # each with each end were five times as many
+
+
 def test_token_files_round_trip(docs, texts):
     start, want = 0, []
     for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None,
