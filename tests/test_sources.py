@@ -329,3 +329,30 @@ def test_repeated_links_keep_the_place_of_their_first_card(spark):
     got = html_cards.card_fields(df, CARD, "/", "https://x.io", {"p": Pick(tags=("p",))}).collect()
     assert sorted((r["page_id"], r["pos"], r["href"], r["p"]) for r in got) == [
         (7, 0, "/1", "x"), (7, 3, "/2", None)]
+
+
+def test_cards_of_one_shape_make_one_tree(monkeypatch):
+    made, tree = [], html_cards._Tree
+    monkeypatch.setattr(html_cards, "_Tree", lambda *args: made.append(1) or tree(*args))
+    body = ("<div><a data-id='job-card-title'>{0}</a><img data-id='company-img' alt='Acme {0}'><div "
+            "class='bounded-attribute-section'><div><div><i class='fa-location-dot'></i></div><span>"
+            "{0} &amp; b</span></div></div></div>")
+    cards = [body.format(i) for i in range(50)]
+    odd = ["", "a < b", "<p>x", "</p>", "<b class='company'>c", body.format(" "), "t<br/>u",
+           "<script>a<b</script><h2>h</h2>", "<i class='fa-location-dot'></i>"]
+    for limit in (None, 3):
+        if limit:
+            for name in ("KNOWN_MARKS", "KNOWN_SHAPES", "SHAPE_LENGTH"):
+                monkeypatch.setattr(html_cards, name, limit)
+        for spec in (s for s in SPECS.values() if s.picks):
+            reader = html_cards._Reader(spec.picks)
+            for card in [*cards, *odd, *cards]:
+                scope = html_cards._Scope(tree(card))
+                assert reader.read(card) == [scope.read(p) for p in spec.picks.values()]
+    made.clear()
+    reader = html_cards._Reader(SPECS["builtinnyc"].picks)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_cards, "_Tree", lambda *args: made.append(1) or tree(*args))
+    for i, card in enumerate(cards):
+        assert reader.read(card)[6] == [f"{i} & b"]
+    assert len(made) == 1                       # one for each card before
