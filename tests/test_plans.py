@@ -92,6 +92,14 @@ def test_texts_are_built_once(spark):
     assert optimized.count("AS text_lo#") == 1 and optimized.count("AS text_found#") == 1
 
 
+def test_who_only_asks_what_passed_does_not_search_for_all_phrases(spark):
+    passed = prefilter(B.postings(spark, DIR), CFG, B.companies(spark, DIR)).select(
+        "job_id", "passed_prefilter")
+    for df in (passed, QUERIES["sort_semantic"](spark, DIR)):
+        optimized = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS text_lo#" in optimized and "AS text_found#" not in optimized
+
+
 def test_rescore_of_stale_rows_reads_the_table_as_often_as_of_all_rows(spark):
     from catalog.browse_queries import before_rescore
     from catalog.sqlgen import SCORED_CFG
