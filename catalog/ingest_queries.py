@@ -53,9 +53,16 @@ def _table_before(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_SPECS = {n: SPECS[n] for n in B.SOURCES}
+
+
 def _run(s: SparkSession, d: str) -> R.IngestRun:
     return R.ingest_run(_delivered(s, d).drop("k", "delivery"), _table_before(s, d), B.as_of(),
-                        root=folder(s), specs={n: SPECS[n] for n in B.SOURCES})
+                        root=folder(s), specs=_SPECS)
+
+
+def _landed(s: SparkSession, d: str) -> R.Landed:
+    return R.land(_delivered(s, d).drop("k", "delivery"), B.as_of(), root=folder(s), specs=_SPECS)
 
 
 @cache
@@ -90,7 +97,7 @@ add("ingest_run", lambda s, d: _run(s, d).ledger.select(
       CAST(skipped AS BIGINT) AS jobs_skipped, CAST(coalesce(bad, 0) AS BIGINT) AS n_errors,
       message AS error_message, CAST(epoch(as_of) AS BIGINT) + 30 * 86400 AS expires_at,
       {iso_sql('as_of')} AS run_timestamp FROM total, params""", "params", "postings")
-add("ingest_rejected", lambda s, d: _run(s, d).rejected.groupBy("source", "reason").agg(
+add("ingest_rejected", lambda s, d: _landed(s, d).rejected.groupBy("source", "reason").agg(
     F.count(F.lit(1)).alias("n"), F.count("payload").alias("with_payload")),
     f"""WITH {_run_sql()} SELECT source, reason, CAST(sum(times) AS BIGINT) AS n,
     CAST(coalesce(sum(times) FILTER (k % 11 <> 1), 0) AS BIGINT) AS with_payload FROM item

@@ -2,8 +2,9 @@
 
 The run reads its payloads once. Every payload gets a ``kind``: a posting, a skipped one (the
 source's required fields are empty, which is no error) or a rejected one (it cannot be read, or no
-spec knows its source). One job writes all three, each into its own partition; the merge into
-the table is the second job. The ledger counts what was stored, from the few columns that say where
+spec knows its source). One job writes all three, each into its own partition, which is ``land``;
+the merge into the table is the second job. What was accepted or rejected can be read from the first
+alone. The ledger counts what was stored, from the few columns that say where
 a row came from. What was accepted and is not new was an update, also where one run delivers a
 posting twice.
 """
@@ -32,6 +33,18 @@ LEDGER = ("source_name string, run_timestamp timestamp, status string, jobs_foun
           "duration_ms long, expires_at long, error_message string")
 
 
+@dataclass(frozen=True)
+class Landed:
+    """Stored payloads of a run: ``items`` is all of them with their ``kind``, ``failed`` names the
+    sources whose plan could not be built."""
+
+    postings: DataFrame
+    skipped: DataFrame
+    rejected: DataFrame
+    items: DataFrame
+    failed: dict[str, str]
+
+
 @dataclass(frozen=True)
 class IngestRun:
     """Stored tables; ``merged`` is the table after the run, ``change`` says how it came."""
@@ -79,6 +92,32 @@ def _counted(items: DataFrame) -> dict[str, dict]:
     return {r["source"]: r.asDict() for r in rows.collect()}
 
 
+def _json_specs() -> dict[str, SourceSpec]:
+    return {n: s for n, s in SPECS.items() if s.schema}
+
+
+def land(raw: DataFrame, as_of: Column, root: str | None = None,
+         specs: dict[str, SourceSpec] | None = None) -> Landed:
+    """First step of a run: every payload of ``raw`` is read and stored under ``root``, nothing is
+    merged. One job writes."""
+    spark = raw.sparkSession
+    specs = _json_specs() if specs is None else specs
+    root = root or _new_folder(spark)
+    tagged, failed = tag_payloads(raw, as_of, specs)
+    tagged.write.partitionBy("kind").parquet(f"{root}/items")
+    items = spark.read.schema(tagged.schema).parquet(f"{root}/items")
+
+    def of(kind: str) -> DataFrame:
+        return items.where(F.col("kind") == kind).drop("kind")
+
+    return Landed(of(POSTING).drop(*ABOUT), of(SKIPPED).select("source", *ABOUT),
+                  of(REJECTED).select("source", *ABOUT), items, failed)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+
+
 def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | None = None,
                specs: dict[str, SourceSpec] | None = None, fetch_errors: dict[str, str] | None = None,
                duration_ms: int | None = None) -> IngestRun:
@@ -89,19 +128,12 @@ def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | N
     with rejected payloads is ``partial``. Every source has one ledger row, also with no payload.
     """
     spark = raw.sparkSession
-    specs = {n: s for n, s in SPECS.items() if s.schema} if specs is None else specs
-    root = root or f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    tagged, failed = tag_payloads(raw, as_of, specs)
-    failed = {**failed, **(fetch_errors or {})}
+    specs = _json_specs() if specs is None else specs
+    root = root or _new_folder(spark)
+    landed = land(raw, as_of, root, specs)
+    failed = {**landed.failed, **(fetch_errors or {})}
     names = [*dict.fromkeys([*specs, *failed]), UNKNOWN_SOURCE]
-    tagged.write.partitionBy("kind").parquet(f"{root}/items")
-    items = spark.read.schema(tagged.schema).parquet(f"{root}/items")
-
-    def of(kind: str) -> DataFrame:
-        return items.where(F.col("kind") == kind).drop("kind")
-
-    postings = of(POSTING).drop(*ABOUT)
-    merged = upsert_postings(existing, postings)
+    merged = upsert_postings(existing, landed.postings)
     merged.write.parquet(f"{root}/table")
     table = spark.read.schema(merged.schema).parquet(f"{root}/table")
     # Sources nobody knows share one entry, so the list stays as long as the specs.
@@ -109,10 +141,9 @@ def ingest_run(raw: DataFrame, existing: DataFrame, as_of: Column, root: str | N
     named = F.when(source.isin([n for n in names if n != UNKNOWN_SOURCE]), source) \
         .otherwise(UNKNOWN_SOURCE).alias("source")
     new = table.where("change = 'new'").select(named).groupBy("source").count().collect()
-    ledger = _ledger(spark, names, _counted(items.select(named, "kind", "reason")),
+    ledger = _ledger(spark, names, _counted(landed.items.select(named, "kind", "reason")),
                      {r["source"]: r["count"] for r in new}, failed, as_of, duration_ms)
-    return IngestRun(postings, of(SKIPPED).select("source", *ABOUT),
-                     of(REJECTED).select("source", *ABOUT), ledger, table)
+    return IngestRun(landed.postings, landed.skipped, landed.rejected, ledger, table)
 
 
 def _ledger(spark: SparkSession, names: list[str], landed: dict[str, dict], merged: dict[str, int],

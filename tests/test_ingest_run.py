@@ -6,7 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.plans.ingest_run import LEDGER, _counted, ingest_run, tag_payloads
+from catalog import QUERIES
+from rolesift.plans.ingest_run import LEDGER, _counted, ingest_run, land, tag_payloads
 from rolesift.sources import archive as A
 from rolesift.sources.specs import EMPTY, MALFORMED, SPECS, SourceSpec
 
@@ -117,3 +118,17 @@ def test_counts_come_from_what_was_stored(spark):
     assert _counted(items) == {
         "a": {"source": "a", "posting": 1, "skipped": 0, "rejected": 2, "message": "x"},
         "b": {"source": "b", "posting": 0, "skipped": 1, "rejected": 0, "message": None}}
+
+
+def test_rejected_rows_are_read_without_a_merge(spark, nothing, tmp_path, monkeypatch):
+    rows = raw(spark, ("remoteok", job(1)), ("remoteok", "{"), ("elsewhere", job(2)),
+               ("himalayas", None), ("remoteok", job(3, title="")))
+    landed = land(rows, as_of(), str(tmp_path), TWO)
+    run = ingest_run(rows, nothing, as_of(), specs=TWO)
+    for kind in ("postings", "skipped", "rejected"):
+        ours, theirs = getattr(landed, kind), getattr(run, kind)
+        assert ours.schema == theirs.schema
+        assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+    assert [p.name for p in tmp_path.iterdir()] == ["items"]
+    monkeypatch.delattr("catalog.ingest_queries._table_before")
+    assert QUERIES["ingest_rejected"](spark, "/root/testdata/sf0.001").count() == 13
