@@ -103,6 +103,34 @@ def test_quality_threshold_keeps_the_share_and_uses_the_gap():
     assert find(trusted, np.empty(0)) == pytest.approx(0.002 - 0.25)
 
 
+def test_quality_model_is_fitted_to_all_labelled_documents(spark):
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", """array_join(transform(sequence(0, 24),
+        j -> concat('w', (id * (j + 3) + j * j) % 997)), ' ') AS text""")
+    ids = spark.range(n)
+    trusted = ids.selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    # All documents are trusted, so both multinomials are one.
+    assert not quality.fit(docs, trusted).ratio.any()
+
+    every = docs.unionAll(docs.selectExpr("doc_id + 100000", "concat(text, ' bad', doc_id % 50)"))
+    marks = trusted.unionAll(ids.selectExpr("id + 100000", "0", "0"))
+    model = quality.fit(every, marks)
+    got = quality.score(every, model).filter("NOT base_failed").toPandas()
+    own = got.doc_id < 100_000
+    assert len(got) == 2 * n
+    assert model.threshold == quality.threshold(got.llr[own].to_numpy(), got.llr[~own].to_numpy())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12])
+def test_place_in_sorted_scores(spark, scale):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), rng.normal(size=3000) * 1e-9,
+                             np.full(500, -0.25), [1e6, -1e6, 0.0]]) * scale
+    df = spark.createDataFrame([(float(v),) for v in values], "llr double").repartition(3)
+    for k in (0, 6, 1500, 3000, 3300, len(values) - 1):
+        assert quality.nth(df, k) == np.sort(values)[k]
+
+
 def test_quality_without_rows(empty, docs, labels):
     model = quality.fit(empty, labels)
     assert quality.score(empty, model).count() == 0 and quality.keep(empty, model).count() == 0
