@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -63,6 +64,44 @@ def test_substring_counts_by_ranges_without_shuffled_pairs(spark, monkeypatch):
     assert text.count("Exchange") == text.count("partial_count")
 
 
+def test_a_dictionary_of_any_size_reads_the_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(SS, "HELD_PHRASES", 30)
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abcd") for _ in range(80))) for i in range(60)]
+    phrases = {t[k:k + 1 + k % 9] for _, t in texts for k in range(0, 70, 7)}
+    assert len(phrases) > 10 * SS.HELD_PHRASES
+    rows = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    for find in (SS.substring_counts, SS.substring_matches):
+        df = find(spark.createDataFrame(texts, "id long, t string"), rows, "id", "t")
+        assert plan(df).count("MapInArrow") == 1
+        n = df.agg(F.sum("texts")).first()[0] if "texts" in df.columns else df.count()
+        assert n == sum(p in t for _, t in texts for p in phrases)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abé\0 😀", "".join(map(chr, range(0x4E00, 0x4F40)))])
+@pytest.mark.parametrize("kept", [64, 3])
+def test_runs_of_texts_equal_sets_of_runs(monkeypatch, letters, kept):
+    """Also where different runs have one hash, of which ``kept`` bits are left."""
+    of, mask = SS.Windows.of, np.uint64((1 << 64) - (1 << 64 - kept))
+    monkeypatch.setattr(SS.Windows, "of", lambda self, n: of(self, n) & mask)
+    monkeypatch.setattr(SS, "BLOCK", 100)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    texts[3:3] = ["", texts[0], "a" * 300, "a\0b"]
+    sizes = [1, 2, 3, 8, 11, 20]
+    got = {}
+    for runs, count, rows in SS._met(texts, SS.Bits(sizes, np.full(8, 255, np.uint8))):
+        ends = np.cumsum(count).tolist()
+        for run, low, high in zip(runs.to_pylist(), [0, *ends], ends, strict=False):
+            assert run not in got
+            got[run] = rows[low:high].tolist()
+    want = {}
+    for k, text in enumerate(texts):
+        for run in {text[i:i + n] for n in sizes for i in range(len(text) - n + 1)}:
+            want.setdefault(run, []).append(k)
+    assert got == want
+
+
 def test_a_handful_of_phrases_is_matched_where_texts_are_read(spark):
     rows = [(i, f"lead ({i}) of vp") for i in range(50)] + [(3, "of zz"), (None, "of"), (60, None)]
     df = SS.substring_matches(spark.createDataFrame(rows, "id long, t string"),
